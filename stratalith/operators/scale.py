@@ -62,20 +62,20 @@ def heavy_keys(counts: DataFrame, keys: Sequence[str], floor: int = 100_000) ->
     return spark.createDataFrame(rows, counts.schema)
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def small_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on null-safe equal ``keys`` with ``small`` broadcast; the caller vouches for its bound."""
+    renamed = F.broadcast(small.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}))
     cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+    for i, k in enumerate(keys):
+        cond = cond & big[k].eqNullSafe(renamed[f"_k{i}"])
+    return big.join(renamed, cond, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def split_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """(rows of light keys, rows of heavy keys with their count ``_n``)."""
     if heavy is None:
         return df, None
-    h = F.broadcast(heavy)
-    cond = null_safe(df, heavy, keys)
-    return df.join(h, cond, "left_anti"), df.join(h, cond, "inner").select(*[df[c] for c in df.columns], heavy["_n"])
+    return small_join(df, heavy, keys, "left_anti"), small_join(df, heavy, keys)
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], weight: str, floor: int = 100_000) -> DataFrame:
@@ -125,9 +125,7 @@ def rank_in_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # at most heavy keys + partitions rows: a partition either starts a key or continues one
     spans = spans.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    cond = null_safe(placed, spans, ["_part", *keys])
-    far = placed.join(F.broadcast(spans), cond).select(
-        *[placed[c] for c in df.columns],
-        (placed["_place"] - spans["_first"] + spans["_before"] + 1).cast("long").alias(name),
+    far = small_join(placed, spans, ["_part", *keys]).select(
+        *df.columns, (F.col("_place") - F.col("_first") + F.col("_before") + 1).cast("long").alias(name)
     )
     return ranked.unionByName(far)
