@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalith.llm import distinctive, rankmix, topn
+from stratalith.llm import distinctive, rankmix, topn, validity
 from stratalith.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return validity.syntax_verdicts(table(spark, d, "files")).where(~F.col("valid")).select("file_id").distinct()
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return validity.invalid_rates(table(spark, d, "files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "hits").select("hit_id", "chunk_id", "repo", "file_path", F.lower(F.trim("source")).alias("source"), "score")
     return topn.top_n(hits, ["repo", "file_path", "source"], "score", ["chunk_id", "hit_id"], 3).select("hit_id")
@@ -26,7 +34,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return rankmix.fused_top(table(spark, d, "hits"), table(spark, d, "queries")).select("query_id", "chunk_id")
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p7_found": p7_found}
 
 ORACLE = {
     "p4_found": """
