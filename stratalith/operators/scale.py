@@ -8,10 +8,13 @@ ever collected or broadcast.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,10 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = "file://" + tempfile.mkdtemp(prefix="stratalith-")
+        root = _local_root()
     return os.path.join(root, uuid.uuid4().hex)
 
 
+@cache
+def _local_root() -> str:
+    path = tempfile.mkdtemp(prefix="stratalith-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at replicated files."""
     path = shared_dir(df.sparkSession)
