@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalith.llm import distinctive, rankmix, topn, validity
+from stratalith.llm import distinctive, neighbours, rankmix, topn, validity
 from stratalith.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "vectors"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return validity.syntax_verdicts(table(spark, d, "files")).where(~F.col("valid")).select("file_id").distinct()
 
@@ -34,7 +38,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return rankmix.fused_top(table(spark, d, "hits"), table(spark, d, "queries")).select("query_id", "chunk_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p7_found": p7_found}
 
 ORACLE = {
     "p4_found": """
