@@ -81,7 +81,8 @@ def nearest(vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, dim: int =
 
     both = pairs.union(pairs.select("b", "a", "cosine")).toDF("rep", "b", "cosine").groupBy("rep", "b").agg(F.max("cosine").alias("cosine"))
     order = Window.partitionBy("rep").orderBy(F.col("cosine").desc(), "b")
-    best = both.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    # written once: the join below reads it more than once, and the search must not run again
+    best = materialise(both.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k))
     other = classes.select(F.col("rep").alias("b"), "ids")
     # a class may be near to very many; its ids are joined by their weight
     degree = best.groupBy("b").agg(F.count(F.lit(1)).alias("deg"))
