@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalith.llm import distinctive, neighbours, rankmix, topn, validity
+from stratalith.llm import distinctive, handwritten, neighbours, rankmix, topn, validity
 from stratalith.sources.tables import table
 
 
@@ -21,6 +21,19 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return validity.invalid_rates(table(spark, d, "files"))
 
 
+def _origins(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.file_origins(table(spark, d, "files"), table(spark, d, "library_files"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _origins(spark, d).where(F.col("reason").isNotNull()).select("file_id").distinct()
+
+
+def p3_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of hand-written files only."""
+    return handwritten.handwritten_chunks(table(spark, d, "chunks"), _origins(spark, d)).select("chunk_id").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "hits").select("hit_id", "chunk_id", "repo", "file_path", F.lower(F.trim("source")).alias("source"), "score")
     return topn.top_n(hits, ["repo", "file_path", "source"], "score", ["chunk_id", "hit_id"], 3).select("hit_id")
@@ -38,7 +51,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return rankmix.fused_top(table(spark, d, "hits"), table(spark, d, "queries")).select("query_id", "chunk_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p7_found": p7_found}
 
 ORACLE = {
     "p4_found": """
