@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalith.llm import distinctive, handwritten, neighbours, rankmix, topn, validity
+from stratalith.llm import distinctive, handwritten, neighbours, rankmix, spam, topn, validity
 from stratalith.sources.tables import table
 
 
@@ -51,7 +51,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return rankmix.fused_top(table(spark, d, "hits"), table(spark, d, "queries")).select("query_id", "chunk_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p7_found": p7_found}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_documents(table(spark, d, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p7_found": p7_found}
 
 ORACLE = {
     "p4_found": """
