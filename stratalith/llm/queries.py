@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalith.llm import distinctive, handwritten, neighbours, rankmix, spam, topn, validity
+from stratalith.llm import distinctive, handwritten, mixing, neighbours, packing, rankmix, sizes, spam, topn, validity
 from stratalith.sources.tables import table
 
 
@@ -51,11 +51,29 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return rankmix.fused_top(table(spark, d, "hits"), table(spark, d, "queries")).select("query_id", "chunk_id")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Where every document goes, for each capacity."""
+    sized = sizes.with_sizes(table(spark, d, "documents").select("doc_id", "text"))
+    return packing.fill_containers(sized, table(spark, d, "container_specs"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed documents with their copies."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "doc_path", "text")
+    return mixing.mix(sizes.with_sizes(docs), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p7_found": p7_found}
+QUERIES = {
+    "p8_containers": p8_containers, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found,
+    "p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p7_found": p7_found}
 
 ORACLE = {
     "p4_found": """
