@@ -199,7 +199,7 @@ def body_lines(body: Column, mode: str) -> Column:
 
 def untracked_hunks(files: DataFrame, text: str = "text") -> DataFrame:
     """One all-added hunk per untracked text file (path, text)."""
-    lines = F.split(F.regexp_replace(text, r"\n$", ""), "\n")
+    lines = F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
     n = F.when(F.col(text) == "", 0).otherwise(F.size(lines))
     body = F.when(n > 0, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("+"), x)), "\n")).otherwise("")
     return files.select("path", F.lit(1).alias("hunk"), F.lit(0).alias("old_start"), F.lit(0).alias("old_len"), F.least(n, F.lit(1)).alias("new_start"), n.alias("new_len"), n.alias("added"), F.lit(0).alias("removed"), body.alias("body"))

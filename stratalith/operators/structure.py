@@ -102,13 +102,13 @@ def read_lines(files: DataFrame, start: int, end: int, text: str = "text") -> Da
     that are shorter than ``start`` have no row."""
     if start < 1 or end < start:
         raise ValueError("lines are 1 <= start <= end")
-    lines = F.split(F.regexp_replace(text, r"\n$", ""), "\n")
+    lines = F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
     return files.where(F.size(lines) >= start).withColumn("slice", F.array_join(F.slice(lines, start, end - start + 1), "\n"))
 
 
 def plain_line_stats(rows: DataFrame, text: str = "text") -> DataFrame:
     """total, blank and comment = 0 for languages without comments, in SQL alone."""
-    lines = F.split(F.regexp_replace(text, r"\n$", ""), "\n")
+    lines = F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
     lines = F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(lines)
     blank = F.size(F.filter(lines, lambda x: F.length(F.regexp_replace(x, r"\s+", "")) == 0))
     return rows.withColumn("total", F.size(lines)).withColumn("blank", blank).withColumn("comment", F.lit(0))

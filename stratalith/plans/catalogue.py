@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratalith.plans import incremental
+from stratalith.plans import incremental, retrieval, structure
 
-_MODULES = (incremental,)
+_MODULES = (retrieval, structure, incremental)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
