@@ -8,6 +8,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 class Rules(NamedTuple):
@@ -119,9 +120,15 @@ def _char_end(line: str, i: int) -> int:
     return i + 1
 
 
-@F.pandas_udf("total int, blank int, comment int")
-def line_stats(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Counts of (content, language) in Arrow batches; null content gives nulls."""
+_STATS = StructType([StructField(n, IntegerType()) for n in ("total", "blank", "comment")])
+
+
+def _count_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, languages in batches:
         rows = [(None, None, None) if t is None else count_lines(bytes(t).decode("utf-8", "replace"), lang) for t, lang in zip(texts, languages)]
         yield pd.DataFrame(rows, columns=["total", "blank", "comment"]).astype("Int32")
+
+
+def line_stats(content: Column | str, language: Column | str) -> Column:
+    """Struct of total, blank and comment lines, counted in Arrow batches; null content gives nulls."""
+    return F.pandas_udf(_count_batches, _STATS)(content, language)

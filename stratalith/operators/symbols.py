@@ -52,7 +52,7 @@ for _lang in ("javascript", "typescript", "tsx"):
 for _lang in ("cpp", "csharp"):
     _DECLARATIONS[_lang] = _DECLARATIONS["c"] + [("class", r"(?:(?:public|private|internal|static|sealed|abstract|partial)\s+)*class\s+(?P<n>\w+)"), ("namespace", r"namespace\s+(?P<n>[\w.:]+)")]
 _CONTAINERS = frozenset("class interface enum struct trait impl module object record namespace model block".split())
-_COMPILED = {lang: [(k, re.compile(r"^[ \t]*" + p, re.M)) for k, p in rules] for lang, rules in _DECLARATIONS.items()}
+_COMPILED = {lang: [(k, re.compile(r"(?:^|(?<=[{;}]))[ \t]*" + p, re.M)) for k, p in rules] for lang, rules in _DECLARATIONS.items()}
 _SKIP = re.compile(r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|'(?:[^'\\\n]|\\.)'|r(#*)"[\s\S]*?"\1""")
 
 
