@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stratalith.functions import paths
 from stratalith.functions.text import tokenize, tokenize_str
-from stratalith.operators.scale import lookup_join
+from stratalith.operators.scale import lookup_join, spread
 
 K1, B = 1.5, 0.75
 
@@ -25,7 +25,7 @@ def indexed_terms(chunks: DataFrame) -> DataFrame:
     dirs = F.flatten(F.transform(paths.last_dirs(F.col("file_path")), tokenize))
     empty = F.array().cast("array<string>")
     parts = [F.coalesce(p, empty) for p in (tokenize(F.col("content")), stem, stem, dirs)]
-    return chunks.select("chunk_id", F.explode(F.concat(*parts)).alias("term"))
+    return spread(chunks.select("chunk_id", "file_path", "content")).select("chunk_id", F.explode(F.concat(*parts)).alias("term"))
 
 
 def build_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalith.functions import vectors
 from stratalith.functions.text import tokenize
+from stratalith.operators.scale import spread
 
 
 def usable(table: DataFrame, dim: int) -> DataFrame:
@@ -27,7 +28,7 @@ def hash_vectors(texts: DataFrame, key: str, text: Column, dim: int = 256) -> Da
     """(key, idx, value): the sparse unit vector of every text's tokens, repeats included.
 
     One aggregation per (key, place) and one per key, both combined before the shuffle."""
-    terms = texts.select(key, F.explode(tokenize(text)).alias("term"))
+    terms = spread(texts.select(key, text.alias("_text"))).select(key, F.explode(tokenize(F.col("_text"))).alias("term"))
     cells = terms.groupBy(key, vectors.bucket(F.col("term"), dim).alias("idx")).agg(F.sum(vectors.sign(F.col("term"))).alias("v"))
     norms = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return cells.join(norms, key).select(key, "idx", F.when(F.col("norm") > 1e-8, F.col("v") / F.col("norm")).otherwise(F.col("v")).alias("value")).where(F.col("value") != 0)

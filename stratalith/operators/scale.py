@@ -54,6 +54,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input of fewer splits than cores dealt out evenly, for steps that compute much per row.
+
+    Only small inputs have so few splits; larger ones are read as they lie, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Exact rows per key, combined map-side and kept for the several readers."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)

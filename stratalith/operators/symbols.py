@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalith.operators.scale import spread
+
 MAX_BYTES = 1 << 20
 CHUNK_BYTES = 2_000
 
@@ -206,7 +208,7 @@ def symbols(files: DataFrame) -> DataFrame:
     names = ["repo", "rel_path", "language", "kind", "name", "qualname", "start_byte", "end_byte", "start_line", "end_line"]
     kinds = [pa.string()] * 6 + [pa.int32()] * 4
     run = _run(lambda text, lang: [tuple(s) for s in extract(text, lang)], names, kinds)
-    return files.select("repo", "rel_path", "language", "content").mapInArrow(run, _SYMBOLS).distinct()
+    return spread(files.select("repo", "rel_path", "language", "content")).mapInArrow(run, _SYMBOLS).distinct()
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
@@ -215,7 +217,7 @@ def chunk_files(files: DataFrame) -> DataFrame:
     kinds = [pa.string()] * 3 + [pa.int32()] * 2 + [pa.string()]
     known = frozenset(_COMPILED) | {"python", "json"}
     run = _run(lambda text, lang: cut_chunks(text, extract(text, lang)) if lang in known else [], names, kinds)
-    return files.select("repo", "rel_path", "language", "content").mapInArrow(run, _CHUNKS).distinct()
+    return spread(files.select("repo", "rel_path", "language", "content")).mapInArrow(run, _CHUNKS).distinct()
 
 
 def resolve_qualname(table: DataFrame, wanted: str) -> DataFrame:

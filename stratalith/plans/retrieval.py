@@ -9,6 +9,7 @@ from stratalith.functions import intent as intents
 from stratalith.functions import paths
 from stratalith.functions.text import STOPWORDS, split_identifier_str, tokenize, tokenize_sql, tokenize_str
 from stratalith.operators import bm25, dense, fusion
+from stratalith.operators.scale import materialise, spread
 from stratalith.plans.corpora import CHUNKS, DOCS, chunks, dirs_sql, docs, stem_sql
 from stratalith.sources.tables import table
 
@@ -20,8 +21,14 @@ EXCLUDES = ["src", "*/*/tests/**"]
 LANGUAGES = ["rust", "typescript"]
 
 
+def _index(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index as a search would store it: texts are tokenised once, not per use."""
+    postings = materialise(bm25.build_index(source)[0])
+    return postings, postings.groupBy("chunk_id").agg(F.sum("tf").cast("int").alias("dl"))
+
+
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).select(F.explode(tokenize(F.col("content"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return spread(chunks(spark, d).select("content")).select(F.explode(tokenize(F.col("content"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def term_doc_freq(spark: SparkSession, d: str) -> DataFrame:
@@ -35,12 +42,12 @@ def doc_length_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def _lexical(spark, d, **select):
     c = chunks(spark, d)
-    postings, lengths = bm25.build_index(c)
+    postings, lengths = _index(c)
     return bm25.top_k(bm25.scores(postings, lengths, QUERY, bm25.select_chunks(c, **select)), K)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    postings, lengths = bm25.build_index(docs(spark, d))
+    postings, lengths = _index(docs(spark, d))
     return bm25.top_k(bm25.scores(postings, lengths, QUERY), K)
 
 
@@ -108,8 +115,8 @@ def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Fused ranks of both sides for one text, before any boost."""
     c = chunks(spark, d)
-    lexical = bm25.top_k(bm25.scores(*bm25.build_index(c), HYBRID), fusion.WIDTH * K)
-    semantic = bm25.top_k(dense.semantic_scores(dense.hash_vectors(c, "chunk_id", F.col("content")), HYBRID), fusion.WIDTH * K)
+    lexical = bm25.top_k(bm25.scores(*_index(c), HYBRID), fusion.WIDTH * K)
+    semantic = bm25.top_k(dense.semantic_scores(materialise(dense.hash_vectors(c, "chunk_id", F.col("content"))), HYBRID), fusion.WIDTH * K)
     fused = fusion.fuse(semantic, lexical, intents.semantic_weight(HYBRID))
     return bm25.top_k(fused, K, 9)
 
@@ -117,7 +124,7 @@ def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
 def _seeds(spark, d):
     """Candidates of one lexical ranking with their files, as the boosts take them."""
     c = chunks(spark, d)
-    best = bm25.top_k(bm25.scores(*bm25.build_index(c), HYBRID), fusion.WIDTH * K)
+    best = bm25.top_k(bm25.scores(*_index(c), HYBRID), fusion.WIDTH * K)
     return c, F.broadcast(best).join(c.select("chunk_id", "file_path"), "chunk_id").select("chunk_id", "file_path", "score")
 
 
@@ -153,8 +160,8 @@ def definition_boost(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_full(spark: SparkSession, d: str) -> DataFrame:
     """The whole chain: both rankings, fusion, boosts, insertions, penalties, diversity."""
     c = chunks(spark, d)
-    lexical = bm25.top_k(bm25.scores(*bm25.build_index(c), HYBRID), fusion.WIDTH * K, 9)
-    semantic = bm25.top_k(dense.semantic_scores(dense.hash_vectors(c, "chunk_id", F.col("content")), HYBRID), fusion.WIDTH * K, 9)
+    lexical = bm25.top_k(bm25.scores(*_index(c), HYBRID), fusion.WIDTH * K, 9)
+    semantic = bm25.top_k(dense.semantic_scores(materialise(dense.hash_vectors(c, "chunk_id", F.col("content"))), HYBRID), fusion.WIDTH * K, 9)
     return fusion.hybrid(semantic, lexical, c, HYBRID, K).withColumn("score", F.round("score", 6))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalith.functions import lines
 from stratalith.operators import changes, structure, symbols
 from stratalith.operators.incremental import normal_path
+from stratalith.operators.scale import spread
 from stratalith.plans.corpora import CHUNKS, chunks, docs
 from stratalith.sources.tables import table
 from stratalith.streaming.pipelines import event_windows as windows
@@ -60,7 +61,7 @@ def line_stats_plain(spark: SparkSession, d: str) -> DataFrame:
 def line_stats_code(spark: SparkSession, d: str) -> DataFrame:
     """Lines of every file by its language, by the scanner."""
     rows = _paths(spark, d).withColumn("language", F.coalesce("language", lines.detect(F.col("path"))))
-    return rows.select("path", "language", lines.line_stats("content", "language").alias("s")).select("path", "language", "s.*")
+    return spread(rows).select("path", "language", lines.line_stats("content", "language").alias("s")).select("path", "language", "s.*")
 
 
 def _parts(spark, d):
