@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalith.operators.scale import spread
+
 from stratalith.llm.repair import fingerprints, infer, number, reuse, shapes
 
 COVER = 0.7  # share of tokens under copies of one rule from which a file counts as generated
@@ -216,7 +218,7 @@ def file_origins(files: DataFrame, library: DataFrame) -> DataFrame:
     known = [(r["lib_id"], r["content"]) for r in library.where(F.col("content").isNotNull()).select("lib_id", "content").distinct().orderBy("lib_id").collect()]
     columns = [F.col("file_id").cast("bigint"), "repo", "rel_path", F.col("content").cast("binary")]
     schema = "file_id bigint, repo string, rel_path string, reason string, ratio double, cover double, lib_id bigint"
-    return files.select(*columns).mapInArrow(_judge_batches(known), schema).distinct()
+    return spread(files.select(*columns)).mapInArrow(_judge_batches(known), schema).distinct()
 
 
 def handwritten_chunks(chunks: DataFrame, origins: DataFrame) -> DataFrame:

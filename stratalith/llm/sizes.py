@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalith.operators.scale import spread
+
 TOKENIZER = os.path.join("/opt/tokenizers", "byte_bpe_50k.tiktoken")
 # Fixed value: how this vocabulary cuts text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -56,4 +58,4 @@ def with_sizes(documents: DataFrame, text: str = "text", size: str = "tokens", p
             sizes = [count_tokens(t, enc) if t else 0 for t in batch[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(sizes, pa.int64())], [*keep, size])
 
-    return documents.select(*keep, F.col(text)).mapInArrow(run, schema)
+    return spread(documents.select(*keep, F.col(text))).mapInArrow(run, schema)

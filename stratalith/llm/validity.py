@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalith.operators.scale import spread
+
 _SCHEMA = "file_id bigint, repo string, rel_path string, checked_as string, valid boolean, reason string, line int"
 
 
@@ -50,7 +52,7 @@ def syntax_verdicts(files: DataFrame) -> DataFrame:
     batches, and only the small verdict rows are shuffled.
     """
     columns = [F.col("file_id").cast("bigint"), "repo", "rel_path", F.col("content").cast("binary")]
-    return files.select(*columns).mapInArrow(_verdicts, _SCHEMA).distinct()
+    return spread(files.select(*columns)).mapInArrow(_verdicts, _SCHEMA).distinct()
 
 
 def invalid_rates(files: DataFrame) -> DataFrame:
