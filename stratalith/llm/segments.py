@@ -38,18 +38,20 @@ def segments(text: str) -> list[Segment]:
     with a sentence outside the link; the label belongs to the link."""
     out: list[Segment] = []
     held: list[str] = []
+    size = 0
 
     def flush() -> None:
-        if held:
-            joined = " ".join(held)
-            out.append(Segment("prose", sum(map(len, held)), words_of(joined)))
+        nonlocal size
+        if size:
+            out.append(Segment("prose", size, held[:]))
             held.clear()
+            size = 0
 
     fenced = False
     for line in text.split("\n"):
         bare = line.strip()
         if not bare:
-            if sum(len(_WORD.findall(h)) for h in held) >= LEAST_WORDS // 2:
+            if len(held) >= LEAST_WORDS // 2:
                 flush()
             continue
         if _HEADING.match(bare) and not fenced and not _LINK.search(bare):
@@ -93,8 +95,9 @@ def segments(text: str) -> list[Segment]:
         for piece in _SENTENCE.split(bare):
             if not piece or not piece.strip():
                 continue
-            held.append(piece.strip())
-            if sum(len(_WORD.findall(h)) for h in held) >= LEAST_WORDS:
+            held.extend(words_of(piece))
+            size += len(piece.strip())
+            if len(held) >= LEAST_WORDS:
                 flush()
     flush()
     return out

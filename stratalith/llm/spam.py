@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalith.operators.scale import lookup_join, materialise
+from stratalith.operators.scale import lookup_join, materialise, spread
 
 SHARE = 0.5  # a document is flagged when more of its text than this is spam
 INCOHERENT = -2.0  # mean PMI below which a segment is word salad
@@ -17,6 +17,7 @@ LEAST_PAIRS = 7  # shorter segments have no reliable mean
 REPEATED = 0.3  # share of a segment's pairs that are repeated collocations
 OFTEN, OFTEN_SHARE, RARE = 4, 0.008, 0.02  # repeated: so often in the text, in so few documents
 ITEMS = 3  # product lines from which they count as a list
+BLOCK_CHARS = 1_000_000  # characters of texts that are counted together
 BROADCAST_ROWS = 2_000_000  # pair tables up to this many rows (of 16 bytes) are sent to all executors
 
 _ROWS = "doc_id bigint, seg int, kind string, chars int, h bigint, n int, h1 bigint, h2 bigint, repeated boolean"
@@ -27,7 +28,8 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of three sorts: a segment (h null), a pair within a segment, a word of a document.
 
     ``n`` is the pair's count in the segment; h1, h2 are set where the document has the pair first,
-    so that counting these counts documents."""
+    so that counting these counts documents. Texts are cut one by one; counting runs over arrays
+    of BLOCK_CHARS characters' worth of documents at once."""
     import xxhash
 
     from stratalith.llm.segments import segments
@@ -42,46 +44,73 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = known[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 
-    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
-    names = ["doc_id", "seg", "kind", "chars", "h", "n", "h1", "h2", "repeated"]
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-
-    def block(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [[] for _ in names]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names)
-
+    held: list[tuple[int, list]] = []
+    size = 0
     for batch in batches:
-        rows: list[tuple] = []
         for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
             text = text.as_py()
             if doc is None or not text:
                 continue
-            parts = segments(text)
-            items = sum(p.kind == "item" for p in parts)
-            pairs = []
-            words: set[int] = set()
-            for p in parts:
-                hs = [code(w) for w in p.words] if p.kind != "other" else []
-                words.update(hs)
-                pairs.append(Counter(zip(hs, hs[1:])))
-            total = Counter()
-            for c in pairs:
-                total.update(c)
-            size = sum(total.values())
-            seen: set[tuple[int, int]] = set()
-            for i, (p, c) in enumerate(zip(parts, pairs)):
-                kind = p.kind if p.kind != "item" or items >= ITEMS else "prose"
-                rows.append((doc, i, kind, p.chars, None, 0, None, None, False))
-                for (a, b), n in c.items():
-                    fresh = (a, b) not in seen
-                    seen.add((a, b))
-                    t = total[a, b]
-                    rows.append((doc, i, kind, 0, signed((a * _MIX + b) & (1 << 64) - 1), n, signed(a) if fresh else None, signed(b) if fresh else None, t >= OFTEN and t >= OFTEN_SHARE * size))
-            rows.extend((doc, -1, "word", 0, signed(w), 0, None, None, False) for w in words)
-            if len(rows) > 100_000:
-                yield block(rows)
-                rows = []
-        yield block(rows)
+            held.append((doc, segments(text)))
+            size += len(text)
+            if size > BLOCK_CHARS:
+                yield from _count(held, code)
+                held, size = [], 0
+    if held:
+        yield from _count(held, code)
+
+
+def _count(docs: list[tuple[int, list]], code) -> Iterator[pa.RecordBatch]:
+    ids, of_doc, place, kind, chars, lens, words = [], [], [], [], [], [], []
+    for d, (doc, parts) in enumerate(docs):
+        ids.append(doc)
+        items = sum(p.kind == "item" for p in parts)
+        for i, p in enumerate(parts):
+            of_doc.append(d)
+            place.append(i)
+            kind.append("prose" if p.kind == "item" and items < ITEMS else p.kind)
+            chars.append(p.chars)
+            lens.append(len(p.words) if p.kind != "other" else 0)
+            if lens[-1]:
+                words.extend(map(code, p.words))
+    ids, of_doc, place = np.array(ids, np.int64), np.array(of_doc, np.int64), np.array(place, np.int32)
+    kind, chars = np.array(kind, object), np.array(chars, np.int32)
+    w = np.array(words, np.uint64)
+    seg = np.repeat(np.arange(len(lens)), np.array(lens, np.int64))
+
+    def rows(doc, at, k, c, h=None, n=None, h1=None, h2=None, fresh=None, often=None) -> pa.RecordBatch:
+        m = len(doc)
+        none = lambda kind_: pa.nulls(m, kind_)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids[doc]), pa.array(at), pa.array(k, pa.string()), pa.array(c), none(pa.int64()) if h is None else pa.array(h.view(np.int64)),
+             pa.array(np.zeros(m, np.int32) if n is None else n), none(pa.int64()) if h1 is None else pa.array(h1.view(np.int64), mask=~fresh),
+             none(pa.int64()) if h2 is None else pa.array(h2.view(np.int64), mask=~fresh), pa.array(np.zeros(m, bool) if often is None else often)],
+            ["doc_id", "seg", "kind", "chars", "h", "n", "h1", "h2", "repeated"],
+        )
+
+    yield rows(of_doc, place, kind, chars)
+    if not len(w):
+        return
+    inside = seg[:-1] == seg[1:]
+    a, b, s = w[:-1][inside], w[1:][inside], seg[:-1][inside]
+    h, doc = a * np.uint64(_MIX) + b, of_doc[s]
+    if len(h):
+        o = np.lexsort((s, h, doc))
+        a, b, s, h, doc = a[o], b[o], s[o], h[o], doc[o]
+        new_pair = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]
+        new_row = new_pair | np.r_[True, s[1:] != s[:-1]]
+        at = np.flatnonzero(new_row)
+        n = np.diff(np.r_[at, len(h)]).astype(np.int32)
+        total = np.diff(np.r_[np.flatnonzero(new_pair), len(h)])[np.cumsum(new_pair) - 1]
+        pairs = np.bincount(doc, minlength=len(ids))[doc]
+        often = ((total >= OFTEN) & (total >= OFTEN_SHARE * pairs))[at]
+        s = s[at]
+        yield rows(doc[at], place[s], kind[s], np.zeros(len(at), np.int32), h[at], n, a[at], b[at], new_pair[at], often)
+    d = of_doc[seg]
+    o = np.lexsort((w, d))
+    w, d = w[o], d[o]
+    at = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (w[1:] != w[:-1])])
+    yield rows(d[at], np.full(len(at), -1, np.int32), np.full(len(at), "word", object), np.zeros(len(at), np.int32), w[at])
 
 
 def spam_shares(documents: DataFrame) -> DataFrame:
@@ -97,7 +126,7 @@ def spam_shares(documents: DataFrame) -> DataFrame:
     Null ids and null, empty or blank texts have no row. A doc_id is a key; an exactly repeated row
     changes no share but weighs twice in the corpus counts. Extra columns are ignored. Whole texts
     are read once; only hashes and counts are written and joined."""
-    rows = materialise(documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_pair_rows, _ROWS))
+    rows = materialise(spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(_pair_rows, _ROWS))
     found = rows.where(F.col("kind") != "word")
     docs = found.agg(F.count_distinct("doc_id")).first()[0]
     out = "doc_id bigint, chars bigint, spam_chars bigint, links bigint, incoherent bigint, repeated bigint, share double"
