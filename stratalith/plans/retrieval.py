@@ -197,7 +197,7 @@ dfs AS (SELECT term, count(*) AS df FROM hit GROUP BY term),
 
 
 def _top(name: str, k: int, score: str = "score") -> str:
-    return f"SELECT row_number() OVER (ORDER BY {score} DESC, chunk_id) AS rank, chunk_id, {score} AS score FROM (SELECT chunk_id, {score} FROM {name} ORDER BY {score} DESC, chunk_id LIMIT {k})"
+    return f"SELECT row_number() OVER (ORDER BY {score} DESC, chunk_id)::INT AS rank, chunk_id, {score} AS score FROM (SELECT chunk_id, {score} FROM {name} ORDER BY {score} DESC, chunk_id LIMIT {k})"
 
 
 def _bm25_sql(source: str, where: str = "true") -> str:
@@ -328,7 +328,7 @@ b AS (SELECT fb.chunk_id, fb.file_path, fb.score + {stem_gain} + CASE WHEN s > 0
 al AS (SELECT * FROM b UNION ALL ({_insert_sql('b', '(SELECT top FROM mx)')})),
 pn AS (SELECT chunk_id, file_path, score * {_penalty('file_path', _WANT.wants)} AS score FROM al),
 dv AS (SELECT chunk_id, round(score * pow(0.5, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, chunk_id) - 1), 9) AS sc9 FROM pn)
-SELECT row_number() OVER (ORDER BY sc9 DESC, chunk_id) AS rank, chunk_id, round(sc9, 6) AS score FROM (SELECT * FROM dv ORDER BY sc9 DESC, chunk_id LIMIT {K})"""
+SELECT row_number() OVER (ORDER BY sc9 DESC, chunk_id)::INT AS rank, chunk_id, round(sc9, 6) AS score FROM (SELECT * FROM dv ORDER BY sc9 DESC, chunk_id LIMIT {K})"""
 
 
 _STORED = "post AS (SELECT DISTINCT term, doc_id AS chunk_id, tf FROM postings WHERE tf > 0 AND term IS NOT NULL), len AS (SELECT DISTINCT chunk_id, doc_len AS dl FROM chunks WHERE doc_len IS NOT NULL)"
@@ -344,7 +344,7 @@ ORACLE = {
     "bm25_postings": f"WITH {_STORED}, {_scored(QUERY)} {_top('sc', K)}",
     "bm25_batch": f"""WITH {_STORED}, stat AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM len), q AS (SELECT DISTINCT query_text, unnest(list_distinct({tokenize_sql('query_text')})) AS term FROM queries WHERE query_text IS NOT NULL),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term), sc AS (SELECT query_text, chunk_id, round(sum({_WEIGHT}), 6) AS score FROM q JOIN post USING (term) JOIN dfs USING (term) JOIN len USING (chunk_id), stat GROUP BY ALL)
-SELECT * FROM (SELECT query_text, row_number() OVER (PARTITION BY query_text ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM sc WHERE score > 0) WHERE rank <= {K}""",
+SELECT * FROM (SELECT query_text, row_number() OVER (PARTITION BY query_text ORDER BY score DESC, chunk_id)::INT AS rank, chunk_id, score FROM sc WHERE score > 0) WHERE rank <= {K}""",
     "dense_topk": _dense_sql(_list(_query_vector()).replace("'", "")),
     "dense_selector": _dense_sql(_list(_query_vector()).replace("'", ""), f"{_IN_LANG} AND {_IN_PATH}"),
     "dense_related": f"WITH src AS (SELECT chunk_id AS sid, embedding AS q FROM {_USABLE} ORDER BY chunk_id LIMIT 1), sc AS (SELECT chunk_id, {_cos('q')} AS score FROM {_USABLE}, src WHERE chunk_id <> sid) {_top('sc', K)}",
@@ -352,7 +352,7 @@ SELECT * FROM (SELECT query_text, row_number() OVER (PARTITION BY query_text ORD
     "semantic_topk": f"WITH {_hash(CHUNKS)}, {_semantic(QUERY)} {_top('sem', K)}",
     "rrf_hybrid": f"WITH {_fused()}, rf AS (SELECT chunk_id, round(raw, 9) AS score FROM fu) {_top('rf', K)}",
     "file_boost": f"WITH {_SEEDS} SELECT chunk_id, round(score, 6) AS score FROM ({_BOOSTED.format('seed')})",
-    "diversity_rerank": f"WITH {_SEEDS}, dv AS (SELECT chunk_id, round(score * pow(0.5, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, chunk_id) - 1), 9) AS sc9 FROM seed) SELECT row_number() OVER (ORDER BY sc9 DESC, chunk_id) AS rank, chunk_id, round(sc9, 6) AS score FROM (SELECT * FROM dv ORDER BY sc9 DESC, chunk_id LIMIT {K})",
+    "diversity_rerank": f"WITH {_SEEDS}, dv AS (SELECT chunk_id, round(score * pow(0.5, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, chunk_id) - 1), 9) AS sc9 FROM seed) SELECT row_number() OVER (ORDER BY sc9 DESC, chunk_id)::INT AS rank, chunk_id, round(sc9, 6) AS score FROM (SELECT * FROM dv ORDER BY sc9 DESC, chunk_id LIMIT {K})",
     "path_penalty": f"SELECT DISTINCT file_path, round(({_penalty('file_path')})::DOUBLE, 6) AS penalty FROM {CHUNKS} WHERE file_path IS NOT NULL",
     "path_intent": f"WITH {_FILES} SELECT file_path, round(s, 6) AS fit FROM fit",
     "named_insertions": f"WITH {_SEEDS}, {_FILES} SELECT chunk_id, round(score, 6) AS score FROM (SELECT chunk_id, score FROM seed UNION ALL SELECT chunk_id, score FROM ({_insert_sql('seed', '1.0')}))",

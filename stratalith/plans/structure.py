@@ -212,7 +212,7 @@ _OVER = f"""df AS ({_DIFF}), ov AS (SELECT CASE change WHEN 'changed' THEN 'M' W
 _HUNKS = f"""c AS (SELECT * FROM {CHUNKS} WHERE file_path IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL),
 h AS (SELECT file_path AS path, chunk_id AS hunk, greatest(start_line + chunk_id % 5, 1) AS lo, greatest(start_line + chunk_id % 5, 1) + greatest(chunk_id % 7, 1) - 1 AS hi FROM c),
 s AS (SELECT file_path AS path, 's' || chunk_id AS symbol, start_line AS a, end_line + chunk_id % 11 AS z FROM c),
-pr AS (SELECT path, hunk, symbol, row_number() OVER (PARTITION BY path, hunk ORDER BY (a <= lo AND z >= hi) DESC, z - a, a, symbol) AS place FROM h JOIN s USING (path) WHERE a <= hi AND z >= lo AND z >= a)"""
+pr AS (SELECT path, hunk, symbol, row_number() OVER (PARTITION BY path, hunk ORDER BY (a <= lo AND z >= hi) DESC, z - a, a, symbol)::INT AS place FROM h JOIN s USING (path) WHERE a <= hi AND z >= lo AND z >= a)"""
 
 ORACLE = {
     "langs_rollup": f"SELECT coalesce(language, 'plaintext') AS language, count(*) AS files, sum(total)::BIGINT AS lines, sum(blank)::BIGINT AS blank, sum(comment)::BIGINT AS comment, sum(code)::BIGINT AS code FROM {_C} GROUP BY 1",
@@ -227,12 +227,12 @@ SELECT root, count(*) AS files, string_agg(path, '|' ORDER BY path) FILTER (a <=
     "find_summary": f"""WITH {_FIND} SELECT count(*) < (SELECT count(*) FROM rr) OR EXISTS (SELECT 1 FROM {_P} p, cut WHERE p.path = cut.path AND p.b > cut.b) AS truncated, count(*) AS searched,
 coalesce((SELECT string_agg(bucket, '|' ORDER BY bucket) FROM (SELECT DISTINCT bucket FROM rr WHERE bucket NOT IN (SELECT rr.bucket FROM rr, cut WHERE (rr.turn, rr.bucket) <= (cut.turn, cut.bucket)))), '') AS unsampled
 FROM rr, cut WHERE (rr.turn, rr.bucket) <= (cut.turn, cut.bucket)""",
-    "find_round_robin": f"SELECT path, row_number() OVER (PARTITION BY {_TOP.format('path')} ORDER BY path) AS turn, {_TOP.format('path')} AS bucket FROM {_F}",
+    "find_round_robin": f"SELECT path, row_number() OVER (PARTITION BY {_TOP.format('path')} ORDER BY path)::INT AS turn, {_TOP.format('path')} AS bucket FROM {_F}",
     "kind_counts": f"SELECT file_path, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM (SELECT file_path, coalesce(language, 'plaintext') AS kind, count(*) AS n FROM {CHUNKS} GROUP BY ALL) GROUP BY file_path",
     "outline_depth": f"SELECT chunk_id, replace(file_path, '/', '.') AS qualname FROM {_D} WHERE file_path IS NOT NULL AND len(string_split(replace(file_path, '/', '.'), '.')) <= 4",
     "symbol_resolve": f"WITH q AS (SELECT split_part(min(qualname), '.', 1) AS lead, substr(min(qualname), length(split_part(min(qualname), '.', 1)) + 2) AS leaf FROM {_P}) SELECT path, qualname FROM {_P}, q WHERE qualname = leaf OR ends_with(qualname, '.' || leaf)",
     "symbol_suggest": """WITH t AS (SELECT DISTINCT term AS name, contains(lower(term), 'registri') AS i, levenshtein(lower(term), 'registri') AS d FROM postings WHERE term IS NOT NULL)
-SELECT row_number() OVER (ORDER BY CASE WHEN m THEN 0 ELSE d END, CASE WHEN m THEN 0 ELSE -(1 - d / greatest(length(name), 8, 1)) END, name) AS rank, name FROM (SELECT *, max(i) OVER () AS m FROM t) WHERE i OR NOT m ORDER BY rank LIMIT 5""",
+SELECT row_number() OVER (ORDER BY CASE WHEN m THEN 0 ELSE d END, CASE WHEN m THEN 0 ELSE -(1 - d / greatest(length(name), 8, 1)) END, name)::INT AS rank, name FROM (SELECT *, max(i) OVER () AS m FROM t) WHERE i OR NOT m ORDER BY rank LIMIT 5""",
     "common_prefix": f"""WITH p AS (SELECT min(path) AS a, max(path) AS z FROM {_F} WHERE starts_with(path, 'quillmark/')), n AS (SELECT a, coalesce(max(i), 0) AS k FROM p, range(1, 300) r(i) WHERE i <= length(a) AND substr(a, 1, i) = substr(z, 1, i) GROUP BY a)
 SELECT regexp_extract(substr(a, 1, k), '^(.*/)', 1) AS prefix FROM n""",
     "dirs": f"SELECT DISTINCT array_to_string(list_slice(string_split(path, '/'), 1, i), '/') AS dir FROM {_F}, range(1, 40) r(i) WHERE i < len(string_split(path, '/'))",
