@@ -55,9 +55,13 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Input of fewer splits than cores dealt out evenly, for steps that compute much per row.
+    """A scan of fewer splits than cores dealt out evenly, for steps that compute much per row.
 
-    Only small inputs have so few splits; larger ones are read as they lie, without a shuffle."""
+    Only small inputs have so few splits; larger ones are read as they lie, without a shuffle. A
+    plan that shuffles already stays as it is: counting its partitions would run it."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "InMemoryTableScan" in plan:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
