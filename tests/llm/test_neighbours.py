@@ -43,7 +43,7 @@ def test_small_collection_is_exact_with_copies_and_dirt(spark):
 def test_recall_on_many_cells_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 64)
     monkeypatch.setattr(neighbours, "MEMBER_BLOCK", 40)
-    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 400)
     rows = clustered(3000, 9)
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got = {(x["vec_id"], x["neighbour"]) for x in nearest(df, 5, 0.7).collect()}
