@@ -116,17 +116,39 @@ def _count(docs: list[tuple[int, list]], code) -> Iterator[pa.RecordBatch]:
 def spam_shares(documents: DataFrame) -> DataFrame:
     """(doc_id, chars, spam_chars, links, incoherent, repeated, share) of every non-blank text.
 
-    Corpus statistics count documents, so a text cannot make its own pairs common by repeating
-    them: PMI(a, b) = ln(N c(a,b) / (c(a) c(b))) over the N documents. A segment (a sentence or a
+    Corpus statistics count distinct texts, so neither repeats within a text nor copies of it make
+    its pairs common: PMI(a, b) = ln(N c(a,b) / (c(a) c(b))) over the N texts. A segment (a sentence or a
     few lines) is spam when it is a link without a sentence that explains it, a run of tags, a
     list of product lines, when its mean PMI is below INCOHERENT, or when more than REPEATED of
     its pairs are collocations that this text repeats and few others have. Headings do not count;
     code, traces and tables count as text that is no spam.
 
     Null ids and null, empty or blank texts have no row. A doc_id is a key; an exactly repeated row
-    changes no share but weighs twice in the corpus counts. Extra columns are ignored. Whole texts
-    are read once; only hashes and counts are written and joined."""
-    rows = materialise(spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(_pair_rows, _ROWS))
+    changes nothing. Extra columns are ignored. One document of each text is cut and counted, and
+    its row is joined to the copies. Only hashes and counts are written and joined, unless there are
+    repeated rows or more than BROADCAST_ROWS copies."""
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text <> ''")
+    same = materialise(texts.select("doc_id", F.md5("text").alias("t")).groupBy("t", "doc_id").agg(F.count(F.lit(1)).alias("rows")))
+    firsts = same.groupBy("t").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    copies = firsts.agg(F.sum(F.col("copies") - 1)).first()[0]
+    if same.where("rows > 1").limit(1).count():
+        texts = texts.dropDuplicates(["doc_id"])
+    if not copies:
+        return _shares(spread(texts))
+    firsts = materialise(firsts)
+    if copies <= BROADCAST_ROWS:
+        others = lookup_join(same, firsts, ["t"], "copies").where(F.col("doc_id") != F.col("first")).select("doc_id")
+        one = spread(texts).join(F.broadcast(others), "doc_id", "left_anti")
+    else:
+        one = texts.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    verdicts = _shares(one).withColumnRenamed("doc_id", "first")
+    verdicts = materialise(verdicts.join(firsts, "first"))
+    return lookup_join(same.select("doc_id", "t"), verdicts, ["t"], "copies").drop("t", "first", "copies")
+
+
+def _shares(documents: DataFrame) -> DataFrame:
+    """``spam_shares`` of (doc_id, text) whose texts all differ."""
+    rows = materialise(documents.mapInArrow(_pair_rows, _ROWS))
     found = rows.where(F.col("kind") != "word")
     docs = found.agg(F.count_distinct("doc_id")).first()[0]
     out = "doc_id bigint, chars bigint, spam_chars bigint, links bigint, incoherent bigint, repeated bigint, share double"

@@ -91,6 +91,21 @@ def test_statistics_equal_brute_force(spark, shares, monkeypatch):
     assert {x["doc_id"]: x["share"] for x in spam_shares(df).collect()} == pytest.approx(got)
 
 
+def test_copies_are_judged_like_a_single_page(spark, monkeypatch):
+    r = random.Random(8)
+    pages = {"mock": PAGES["mock"], "salad": " ".join(r.choice(NOUNS) for _ in range(200))}
+    docs = [(i, prose(12)) for i in range(120)]
+    copied = [(1000 + 100 * k + i, text) for k, text in enumerate(pages.values()) for i in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = lambda rows: {x["doc_id"]: x["share"] for x in spam_shares(frame(rows)).collect()}
+    single = found(docs + copied[::60])
+    many = found(docs + copied + copied[:3] + docs[:2])
+    assert many == pytest.approx({d: single[d] for d, _ in docs} | {d: single[1000 + 100 * k] for k in (0, 1) for d in range(1000 + 100 * k, 1060 + 100 * k)})
+    assert {d for d, v in many.items() if v > 0.5} == {d for d, _ in copied}
+    monkeypatch.setattr(spam, "BROADCAST_ROWS", 0)
+    assert found(docs + copied) == pytest.approx(many)
+
+
 def test_empty_table_and_words(spark):
     assert spam_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     assert words_of("L'index de 3 Übungen, foo_bar") == ["l'index", "de", "3", "übungen", "foo", "bar"]
