@@ -15,7 +15,7 @@ SHARE = 0.5  # a document is flagged when more of its text than this is spam
 INCOHERENT = -2.0  # mean PMI below which a segment is word salad
 LEAST_PAIRS = 7  # shorter segments have no reliable mean
 REPEATED = 0.3  # share of a segment's pairs that are repeated collocations
-OFTEN, OFTEN_SHARE, RARE = 4, 0.008, 0.02  # repeated: so often in the text, in so few documents
+OFTEN, OFTEN_PAIRS, RARE = 4, 500, 0.02  # repeated: so often in a text of up to so many pairs, in so few texts
 ITEMS = 3  # product lines from which they count as a list
 BLOCK_CHARS = 1_000_000  # characters of texts that are counted together
 BROADCAST_ROWS = 2_000_000  # pair tables up to this many rows (of 16 bytes) are sent to all executors
@@ -103,7 +103,8 @@ def _count(docs: list[tuple[int, list]], code) -> Iterator[pa.RecordBatch]:
         n = np.diff(np.r_[at, len(h)]).astype(np.int32)
         total = np.diff(np.r_[np.flatnonzero(new_pair), len(h)])[np.cumsum(new_pair) - 1]
         pairs = np.bincount(doc, minlength=len(ids))[doc]
-        often = ((total >= OFTEN) & (total >= OFTEN_SHARE * pairs))[at]
+        # by the root of the length, so that longer texts may repeat more different pairs
+        often = (total >= OFTEN * np.sqrt(np.maximum(pairs / OFTEN_PAIRS, 1)))[at]
         s = s[at]
         yield rows(doc[at], place[s], kind[s], np.zeros(len(at), np.int32), h[at], n, a[at], b[at], new_pair[at], often)
     d = of_doc[seg]

@@ -106,6 +106,20 @@ def test_copies_are_judged_like_a_single_page(spark, monkeypatch):
     assert found(docs + copied) == pytest.approx(many)
 
 
+def test_stuffing_counts_in_texts_of_any_length(spark):
+    r = random.Random(9)
+
+    def page(phrases, times):
+        fixed = [" ".join("".join(r.choices("bcdfgklmnprst", k=6)) for _ in range(2)) for _ in range(phrases)]
+        return " ".join(p for _ in range(times) for p in r.sample(fixed, phrases)) + "."
+
+    pages = {1000: page(20, 10), 1001: page(200, 100), 1002: page(400, 60)}
+    docs = [(i, prose(12)) for i in range(100)] + [(2000, prose(1200))]
+    df = spark.createDataFrame([*docs, *pages.items()], "doc_id bigint, text string")
+    got = {x["doc_id"]: x["share"] for x in spam_shares(df).collect()}
+    assert {d for d, v in got.items() if v > 0.5} == set(pages)
+
+
 def test_empty_table_and_words(spark):
     assert spam_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     assert words_of("L'index de 3 Übungen, foo_bar") == ["l'index", "de", "3", "übungen", "foo", "bar"]
