@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -109,6 +110,8 @@ def _braces(text: str, language: str) -> list[Symbol]:
             stack.append(i)
         elif c == "}" and stack:
             closes[stack.pop()] = i
+    marks = [m.start() for m in re.finditer("[{;]", plain)]
+    breaks = [m.start() for m in re.finditer("\n", plain)]
     spans: list[tuple[int, int, str, str]] = []
     taken: set[int] = set()
     for kind, pattern in _COMPILED[language]:
@@ -117,14 +120,13 @@ def _braces(text: str, language: str) -> list[Symbol]:
                 continue
             taken.add(m.start("n"))
             start = m.start() + len(m.group()) - len(m.group().lstrip())
-            stop = len(plain)
-            for j in range(m.end(), min(len(plain), m.end() + 5_000)):
-                if plain[j] == "{":
-                    stop = closes.get(j, len(plain) - 1) + 1
-                    break
-                if plain[j] == ";" or (plain[j] == "\n" and kind in ("macro", "constant", "variable", "type", "property")):
-                    stop = j
-                    break
+            k = bisect_left(marks, m.end())
+            stop = marks[k] if k < len(marks) else len(plain)
+            k = bisect_left(breaks, m.end())
+            if kind in ("macro", "constant", "variable", "type", "property") and k < len(breaks):
+                stop = min(stop, breaks[k])
+            if plain[stop : stop + 1] == "{":
+                stop = closes.get(stop, len(plain) - 1) + 1
             spans.append((start, min(stop, len(plain)), kind, m.group("n")))
     spans.sort(key=lambda s: (s[0], -s[1]))
     out, open_ = [], []
@@ -133,8 +135,6 @@ def _braces(text: str, language: str) -> list[Symbol]:
         for c in text:
             sizes.append(sizes[-1] + len(c.encode("utf-8", "replace")))
     lines = [i for i, c in enumerate(text) if c == "\n"]
-    from bisect import bisect_left
-
     for a, b, kind, name in spans:
         while open_ and open_[-1][0] <= a:
             open_.pop()

@@ -218,6 +218,15 @@ def test_extract_symbols(lang):
         assert s.name in source.encode()[s.start_byte : s.end_byte].decode() and 1 <= s.start_line <= s.end_line <= source.count("\n") + 1
 
 
+def test_declarations_end_behind_a_long_line():
+    source = f'const DATA = "{"x" * 6000}";\nconst B = 2;\nclass C {{\n  run() {{\n    return 1;\n  }}\n}}\nfunction last() {{\n  return B;\n}}\n'
+    got = [(s.kind, s.qualname, s.start_line, s.end_line) for s in symbols.extract(source, "javascript")]
+    assert got == [("constant", "DATA", 1, 1), ("constant", "B", 2, 2), ("class", "C", 3, 7), ("method", "C.run", 4, 6), ("function", "last", 8, 10)]
+    assert [c[0] for c in symbols.cut_chunks(source, symbols.extract(source, "javascript"))] == [1, 2]
+    data = f"const A = [{'1, ' * 3000}];\n" + "".join(f"function f{i}() {{\n  return {'1 + ' * 300}{i};\n}}\n" for i in range(3))
+    assert [c[0] for c in symbols.cut_chunks(data, symbols.extract(data, "javascript"))] == [1, 2, 5, 8]
+
+
 def test_chunks_cover_and_keep_order():
     source = "".join(f"def f{i}():\n    return {i}\n\n" for i in range(400))
     out = symbols.cut_chunks(source, symbols.extract(source, "python"))
