@@ -110,6 +110,10 @@ class IncrementalStore:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return jvm, path.getFileSystem(sc._jsc.hadoopConfiguration())
 
+    def changed(self, commit: dict) -> DataFrame:
+        """The changed files of a commit."""
+        return self.spark.read.parquet(commit["state"]).where("changed").select("repo", "rel_path")
+
     def last_commit(self) -> dict | None:
         jvm, fs = self._fs()
         folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits")
@@ -122,13 +126,27 @@ class IncrementalStore:
         rows = self.spark.read.text(f"{self.root}/commits/{max(done)}").collect()
         return json.loads(rows[0]["value"])
 
-    def run(self, signatures: DataFrame, parse_cache: DataFrame, upper, fail_before_commit: bool = False) -> DataFrame:
-        """Process what came after the watermark up to ``upper``; returns the changed files."""
+    def run(self, signatures: DataFrame, parse_cache: DataFrame, upper, fail_before_commit: bool = False, batch: tuple[str, int] | None = None) -> DataFrame:
+        """Process what came after the watermark up to ``upper``; returns the changed files.
+
+        With ``batch``, a stream and the number of its batch, every row is processed and the
+        watermark stays: the batch, not ``loaded_at``, says what is new. A stream's last batch given
+        again is not processed again; its committed files are returned."""
         last = self.last_commit()
+        batches = last.get("batches", {}) if last else {}
+        if batch is not None:
+            done = batches.get(batch[0])
+            if done and done["number"] == batch[1]:
+                return self.changed(done)
         n = (last["n"] if last else 0) + 1
-        rows = _versions(signatures).where(F.col("loaded_at") <= _limit(upper))
+        watermark = last["watermark"] if last else None
+        rows = _versions(signatures)
+        if batch is None:
+            rows = rows.where(F.col("loaded_at") <= _limit(upper))
+            if watermark is not None:
+                rows = rows.where(F.col("loaded_at") > _limit(watermark))
+            watermark = str(upper)
         if last:
-            rows = rows.where(F.col("loaded_at") > _limit(last["watermark"]))
             state = self.spark.read.parquet(last["state"])
         else:
             state = None
@@ -152,11 +170,12 @@ class IncrementalStore:
         full = full.withColumn("changed", F.col("fresh") & ~pick(F.col("v")).eqNullSafe(before))
         target = f"{self.root}/v={n}-{uuid.uuid4().hex[:8]}"
         full.select("repo", "rel_path", "v", "changed").write.parquet(f"{target}/all")
-        written = self.spark.read.parquet(f"{target}/all")
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")
         jvm, fs = self._fs()
-        commit = {"n": n, "watermark": str(upper), "state": f"{target}/all"}
+        if batch is not None:
+            batches = batches | {batch[0]: {"number": batch[1], "state": f"{target}/all"}}
+        commit = {"n": n, "watermark": watermark, "state": f"{target}/all", "batches": batches}
         path = jvm.org.apache.hadoop.fs.Path
         staged = path(f"{self.root}/commits/{n}-{uuid.uuid4().hex[:8]}.tmp")
         out = fs.create(staged)
@@ -165,4 +184,4 @@ class IncrementalStore:
         # without the overwrite option a rename onto a published commit fails, and only one writer wins
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         context.rename(staged, path(f"{self.root}/commits/{n}"), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
-        return written.where("changed").select("repo", "rel_path")
+        return self.changed(commit)

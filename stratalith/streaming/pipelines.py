@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,16 +22,16 @@ def event_windows(events: DataFrame, window: str = "1 hour", late: str = "2 hour
 
 def follow_signatures(stream: DataFrame, store, parse_cache: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Each micro-batch of signature rows is one run of an ``IncrementalStore``: its changed files
-    are appended to ``sink``. A batch replayed after a failure finds its commit and adds nothing."""
+    are appended to ``sink``. Commits are known by the stream's id, which ``checkpoint`` keeps, and
+    the batch number. A batch replayed after a failure finds its commit, processes nothing again
+    and writes the committed files once more over what it may have written."""
 
     def step(batch: DataFrame, number: int) -> None:
-        upper = batch.agg(F.max("loaded_at")).first()[0]
-        if upper is None:
-            return
-        last = store.last_commit()
-        if last and str(upper) <= last["watermark"]:
+        if batch.isEmpty():
             return
-        changed = store.run(batch, parse_cache, upper)
-        changed.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        spark = batch.sparkSession
+        name = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        changed = store.run(batch, parse_cache, None, batch=(name, number))
+        changed.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/stream={name}/batch={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

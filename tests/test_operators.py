@@ -355,6 +355,34 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/sink").select("repo", "rel_path").distinct().count() == spark.read.parquet(f"{tmp_path}/sink").count() > 0
 
 
+def test_stream_processes_every_row_of_a_batch_and_replays(spark, tmp_path):
+    from stratalith.streaming.pipelines import follow_signatures
+
+    _, _, cache, at = _log(spark)
+    parts = [[(1, "r", "a", 1, 1, at(5), at(9))], [(2, "r", "b", 1, 1, at(5), at(9))], [(3, "r", "c", 1, 1, at(4), at(8))]]
+    store = IncrementalStore(spark, f"file://{tmp_path}/st")
+    follow = lambda store, to="cp": follow_signatures(spark.readStream.schema(SIGS).parquet(f"{tmp_path}/sig"), store, cache, f"{tmp_path}/sink", f"{tmp_path}/{to}").awaitTermination(120)
+    seen = lambda: sorted(x["rel_path"] for x in spark.read.parquet(f"{tmp_path}/sink").collect())
+    for k, rows in enumerate(parts):  # equal and falling loaded_at
+        spark.createDataFrame(rows, SIGS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/sig")
+        follow(store)
+        assert seen() == ["a", "b", "c"][: k + 1]
+
+    class Dying(IncrementalStore):
+        def run(self, *args, **kinds):
+            super().run(*args, **kinds)
+            raise RuntimeError("died after the commit")
+
+    spark.createDataFrame([(4, "r", "q", 1, 1, at(5), at(10))], SIGS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/sig")
+    with pytest.raises(Exception, match="died after the commit"):
+        follow(Dying(spark, store.root))
+    assert seen() == ["a", "b", "c"] and store.last_commit()["n"] == 4
+    follow(store)
+    assert seen() == ["a", "b", "c", "q"] and store.last_commit()["n"] == 4
+    follow(store, "another")
+    assert seen() == ["a", "b", "c", "q"]
+
+
 def test_sql_of_all_queries_parses():
     from stratalith.plans import catalogue
 
