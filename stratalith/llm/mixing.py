@@ -53,7 +53,7 @@ def feasible_total(supply: np.ndarray, shares: np.ndarray, repeats: np.ndarray)
     return float((supply[usable] * repeats[usable] / share).min())
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, size: str = "tokens") -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total: float | str | None = None, size: str = "tokens") -> DataFrame:
     """(doc_id, source, tokens, copies) of the documents in the mix; copies >= 1.
 
     ``documents`` has doc_id, source, lang, doc_path and ``size``; sources are compared trimmed and
@@ -61,7 +61,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, si
     source has no documents gives its share to the others in proportion; null or non-positive
     shares and caps count as 0. ``total`` is the size wanted; by default the largest at which every
     share can be met within max_repeats, so that no source falls short. With a larger total,
-    capped sources fall short and ``shares`` reports it. Repeated rows count once. An empty table
+    capped sources fall short and ``shares`` reports it. "supply" is all there is of the listed
+    sources. Repeated rows count once. An empty table
     or no usable target gives an empty result.
 
     Tokens are raked over cells of source, language and topic (the folder after the source in
@@ -103,7 +104,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, si
     supply = np.bincount(code, tok, len(names))
     share = np.where(supply > 0, share, 0)
     share = share / share.sum()
-    size_wanted = feasible_total(supply, share, caps) if total is None else float(total)
+    size_wanted = feasible_total(supply, share, caps) if total is None else supply.sum() if total == "supply" else float(total)
     cells["rate"] = rake(tok, caps[code], code, share * size_wanted, [cells["lang"].factorize()[0], cells["topic"].factorize()[0]])
     cells["cap"] = caps[code].astype(int)
     rates = spark.createDataFrame(cells[["source", "lang", "topic", "rate", "cap"]])

@@ -58,9 +58,9 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    """The mixed documents with their copies."""
+    """The mixed documents with their copies, as much in all as the listed sources hold."""
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "doc_path", "text")
-    return mixing.mix(sizes.with_sizes(docs), table(spark, d, "mix_targets"))
+    return mixing.mix(sizes.with_sizes(docs), table(spark, d, "mix_targets"), "supply")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -96,3 +96,21 @@ def test_mix_contract(spark):
     more = shares(mix(docs, targets, total=10**7), targets).collect()
     assert {x["source"]: x["tokens"] for x in more}["wiki"] == 3 * sum(x[4] for x in rows[:4000] if x[1] == "wiki")
     assert mix(docs.limit(0), targets).count() == 0 and mix(docs, targets.limit(0)).count() == 0
+
+
+def test_p9_takes_its_size_from_the_supply(spark, monkeypatch):
+    from stratalith.llm import queries
+
+    docs = [(i, "web" if i % 4 else "forum", "en", f"web/t{i % 3}/a.md", "word " * (40 + i % 7)) for i in range(800)] + [(9000, "Wiki ", "en", "wiki/t/a.md", "word " * 30)]
+    tables = {
+        "documents": spark.createDataFrame(docs, "doc_id bigint, source string, lang string, doc_path string, text string"),
+        "mix_targets": spark.createDataFrame([("web", 0.5, 2), ("forum", 0.3, 4), ("wiki", 0.2, 4)], "source string, target_share double, max_repeats int"),
+    }
+    monkeypatch.setattr(queries, "table", lambda spark, d, name: tables[name])
+    supply = Counter()
+    for x in with_sizes(tables["documents"]).collect():
+        supply[x["source"].strip().lower()] += x["tokens"]
+    have = sum(supply.values())
+    got = {x["source"]: x for x in queries.p9_shares(spark, "").collect()}
+    assert got["web"]["tokens"] == pytest.approx(0.5 * have, rel=0.01) and got["forum"]["tokens"] == pytest.approx(0.3 * have, rel=0.01)
+    assert got["wiki"]["tokens"] == 4 * supply["wiki"] and got["wiki"]["share"] < 0.01
