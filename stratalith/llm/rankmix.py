@@ -19,6 +19,7 @@ from stratalith.operators.scale import heavy_keys, key_counts, materialise, rank
 
 BLOCK = 4096
 BUCKET_ROWS = 200_000
+SETTLED = 1e-12  # the walk stops when no mass moves more in a step
 
 
 def stationary(group: np.ndarray, ranks: np.ndarray, weights: np.ndarray, damping: float, steps: int) -> np.ndarray:
@@ -53,7 +54,7 @@ def stationary(group: np.ndarray, ranks: np.ndarray, weights: np.ndarray, dampin
             nxt = nxt + damping * weights[:, s] * got
         moved = np.abs(nxt - x).max()
         x = nxt
-        if moved < 1e-12:
+        if moved < SETTLED:
             break
     return x / np.add.reduceat(x, starts)[seg]
 
@@ -121,7 +122,7 @@ def _heavy_walk(heavy: DataFrame, cols: list[str], names: list[str], damping: fl
     state = heavy.withColumn("x", 1.0 / F.col("_n"))
     tops = heavy.groupBy("g").agg(*[F.max(c).alias(f"top_{c}") for c in cols])
     state = materialise(state.join(F.broadcast(tops), "g"))
-    for step in range(min(steps, 40)):
+    for _ in range(steps):
         nxt = state
         total = F.lit(0.0)
         for k, (c, wname) in enumerate(zip(cols, names)):
@@ -140,8 +141,11 @@ def _heavy_walk(heavy: DataFrame, cols: list[str], names: list[str], damping: fl
             got = F.when(F.col(c).isNotNull(), F.col(f"in{k}") + F.col(f"below{k}")).otherwise(0.0) + F.coalesce(F.col(f"lost{k}"), F.lit(0.0))
             nxt = nxt.withColumn(f"got{k}", got * F.col(wname)).drop(f"in{k}", f"below{k}", f"lost{k}", f"b{k}", f"f{k}", f"r{k}")
             total = total + F.col(f"got{k}")
-        nxt = nxt.withColumn("x", (1 - damping) / F.col("_n") + damping * total).drop(*[f"got{k}" for k in range(len(cols))])
-        state = materialise(nxt)
+        nxt = nxt.withColumn("_x", (1 - damping) / F.col("_n") + damping * total).drop(*[f"got{k}" for k in range(len(cols))])
+        nxt = materialise(nxt.withColumn("_moved", F.abs(F.col("_x") - F.col("x"))).drop("x").withColumnRenamed("_x", "x"))
+        state = nxt.drop("_moved")
+        if nxt.agg(F.max("_moved")).first()[0] < SETTLED:
+            break
     mass = state.groupBy("g").agg(F.sum("x").alias("_mass"))
     return state.join(F.broadcast(mass), "g").withColumn("walk", F.col("x") / F.col("_mass"))
 

@@ -129,3 +129,17 @@ def test_fused_top_equals_brute_force(spark):
             want |= {(qid, c) for c in sorted(sums, key=lambda c: (-round(sums[c], 12), c))[:5]}
     assert {(x["query_id"], x["chunk_id"]) for x in fused_top(df, q).collect()} == want
     assert fused_top(df.limit(0), q).count() == 0
+
+
+def test_large_groups_take_the_same_steps_as_small_ones(spark, monkeypatch):
+    from stratalith.llm import rankmix
+
+    r = random.Random(6)
+    a, b = r.sample(range(1, 25), 24), r.sample(range(1, 25), 24)
+    ranks = spark.createDataFrame([(1, i, a[i], b[i] if b[i] < 16 else None) for i in range(24)], "g long, i long, rank_a long, rank_b long")
+    weights = spark.createDataFrame([(1, 0.7, 0.3)], "g long, w_a double, w_b double")
+    kept, written = rankmix.materialise, []
+    monkeypatch.setattr(rankmix, "materialise", lambda df: written.append(1) or kept(df))
+    walk = lambda floor: {x["i"]: x["walk"] for x in rank_walk(ranks, weights, "g", "i", ["a", "b"], damping=0.3, steps=60, heavy_floor=floor).collect()}
+    light = walk(10**6)
+    assert walk(1) == pytest.approx(light, rel=1e-9) and len(written) < 30
