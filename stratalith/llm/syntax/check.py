@@ -30,7 +30,7 @@ def check(text: str, lang: str) -> Verdict:
     an empty derivative and a line break or ``}`` stands before it, a semicolon is tried first."""
     g = grammar(lang)
     state, empty = g.fresh(), g.empty
-    derive, ecma = g.derive, lang in ("javascript", "typescript")
+    derive, table, ecma = g.derive, g.table, lang in ("javascript", "typescript")
     prev = ""
     for cls, offset, newline in tokens(text, lang):
         nxt = state.by.get(cls)
@@ -42,6 +42,9 @@ def check(text: str, lang: str) -> Verdict:
             if cls == "CUT":
                 return Verdict(False, "truncated", offset)
             nxt = derive(state, cls)
+            if len(table) > g.limit:
+                nxt = g.lighten(nxt)
+                empty, table = g.empty, g.table
         if nxt is empty:
             if ecma and cls != "ERR" and (newline or cls == "}" or prev == ")"):
                 # after ")" only the end of do-while may omit it, which its rule allows itself

@@ -59,6 +59,7 @@ class Grammar:
         self.empty = Node(EMPTY_, None, None, False)
         self.eps = Node(EPS_, None, None, True)
         self.start = self.ref(self.start_name)
+        self.limit = MAX_NODES
         self.resets = getattr(self, "resets", -1) + 1
 
     # ---- construction -------------------------------------------------
@@ -82,33 +83,66 @@ class Grammar:
             return b
         if b is self.eps:
             return a
-        if a.kind == SEQ:
-            return self.seq(a.a, self.seq(a.b, b))
-        return self._mk(SEQ, a, b, a.nullable and b.nullable)
+        parts = []
+        while a.kind == SEQ:
+            parts.append(a.a)
+            a = a.b
+        b = self._mk(SEQ, a, b, a.nullable and b.nullable)
+        for p in reversed(parts):
+            b = self._mk(SEQ, p, b, p.nullable and b.nullable)
+        return b
 
-    def alt(self, nodes):
+    def _options(self, nodes) -> set:
         flat = set()
         for n in nodes:
             if n.kind == ALT:
                 flat |= n.a
             elif n is not self.empty:
                 flat.add(n)
-        if not flat:
-            return self.empty
-        if len(flat) == 1:
-            return next(iter(flat))
-        # options with the same rest share it, so ambiguity inside a construct stays inside it
-        rests: dict = {}
+        return flat
+
+    def _shared(self, flat: set, rests: bool) -> list:
+        """Groups of options that agree in their rest (or in their first factor): (what is shared,
+        the options, what differs)."""
+        groups: dict = {}
         for n in flat:
             if n.kind == SEQ:
-                rests.setdefault(n.b, []).append(n)
-        for rest, same in rests.items():
-            if len(same) > 1:
+                groups.setdefault(n.b if rests else n.a, []).append(n)
+        if not rests:
+            for n in flat & groups.keys():
+                groups[n].append(n)
+        return [
+            (k, same, [n.a if rests else n.b if n.kind == SEQ else self.eps for n in same]) for k, same in groups.items() if len(same) > 1
+        ]
+
+    def alt(self, nodes):
+        """Options with one rest share it, so ambiguity inside a construct stays inside it; options
+        with one first factor share that, so a nest read in two ways is derived once. Sharing goes
+        as deep as the text nests, hence the explicit stack of (options, stage, groups, group)."""
+        stack, made = [[self._options(nodes), 0, None, None]], None
+        while True:
+            frame = stack[-1]
+            flat = frame[0]
+            if made is not None:
+                flat.add(self.seq(made, frame[3]) if frame[1] == 1 else self.seq(frame[3], made))
+                made = None
+            while not frame[2] and frame[1] < 2:
+                frame[1] += 1
+                frame[2] = self._shared(flat, frame[1] == 1) if len(flat) > 1 else None
+            if frame[2]:
+                frame[3], same, differ = frame[2].pop()
                 flat.difference_update(same)
-                flat.add(self.seq(self.alt([n.a for n in same]), rest))
-        if len(flat) == 1:
-            return next(iter(flat))
-        return self._mk(ALT, frozenset(flat), None, any(n.nullable for n in flat))
+                stack.append([self._options(differ), 0, None, None])
+                continue
+            stack.pop()
+            if not flat:
+                made = self.empty
+            elif len(flat) == 1:
+                made = next(iter(flat))
+            else:
+                made = self._mk(ALT, frozenset(flat), None, any(n.nullable for n in flat))
+            if not stack:
+                return made
 
     def star(self, a):
         return self.eps if a in (self.empty, self.eps) else self._mk(STAR, a, None, True)
@@ -209,33 +243,86 @@ class Grammar:
 
     # ---- derivatives --------------------------------------------------
     def derive(self, node: Node, t: str) -> Node:
+        """The derivative of ``node`` by ``t``. States nest as deep as the text does, so the nodes
+        whose derivatives are still missing wait on an explicit stack."""
         d = node.by.get(t)
         if d is not None:
             return d
-        kind = node.kind
-        if kind == SEQ:
-            d = self.seq(self.derive(node.a, t), node.b)
-            if node.a.nullable:
-                d = self.alt([d, self.derive(node.b, t)])
-        elif kind == TOK:
-            d = self.eps if node.a == t else self.empty
-        elif kind == ALT:
-            d = self.alt([self.derive(n, t) for n in node.a])
-        elif kind == REF:
-            d = self.derive(self.body(node.a), t)
-        elif kind == STAR:
-            d = self.seq(self.derive(node.a, t), node)
-        elif kind == NOTFIRST:
-            d = self.empty if t in node.a else self.derive(node.b, t)
-        elif kind == ANYBUT:
-            d = self.empty if t in node.a or t == "ERR" else self.eps
-        else:
-            d = self.empty
-        node.by[t] = d
-        return d
+        stack = [node]
+        while stack:
+            n = stack[-1]
+            if t in n.by:
+                stack.pop()
+                continue
+            kind = n.kind
+            if kind == TOK:
+                d = self.eps if n.a == t else self.empty
+            elif kind == ANYBUT:
+                d = self.empty if t in n.a or t == "ERR" else self.eps
+            elif kind == NOTFIRST and t in n.a or kind in (EMPTY_, EPS_):
+                d = self.empty
+            else:
+                if kind == ALT:
+                    needs = n.a
+                elif kind == REF:
+                    needs = (self.body(n.a),)
+                elif kind == NOTFIRST:
+                    needs = (n.b,)
+                elif kind == SEQ and n.a.nullable:
+                    needs = (n.a, n.b)
+                else:
+                    needs = (n.a,)
+                missing = [m for m in needs if t not in m.by]
+                if missing:
+                    stack.extend(missing)
+                    continue
+                if kind == ALT:
+                    d = self.alt([m.by[t] for m in needs])
+                elif kind == SEQ:
+                    d = self.seq(n.a.by[t], n.b)
+                    if n.a.nullable:
+                        d = self.alt([d, n.b.by[t]])
+                elif kind == STAR:
+                    d = self.seq(n.a.by[t], n)
+                else:
+                    d = needs[0].by[t]
+            n.by[t] = d
+            stack.pop()
+        return node.by[t]
 
     def fresh(self) -> Node:
         """The start state; tables that outgrew their bound are dropped first."""
         if len(self.table) > MAX_NODES:
             self.reset()
         return self.start
+
+    def lighten(self, state: Node) -> Node:
+        """``state`` in tables that hold no more than it needs, where they outgrew their bound
+        within one text. The bound follows the state where that alone exceeds half of it."""
+        if len(self.table) <= self.limit:
+            return state
+        old_empty, old_eps = self.empty, self.eps
+        self.reset()
+        new = {old_empty: self.empty, old_eps: self.eps}
+        stack = [state]
+        while stack:
+            n = stack[-1]
+            if n in new:
+                stack.pop()
+                continue
+            inner = n.a if n.kind == ALT else (n.a, n.b) if n.kind == SEQ else (n.a,) if n.kind == STAR else (n.b,) if n.kind == NOTFIRST else ()
+            missing = [m for m in inner if m not in new]
+            if missing:
+                stack.extend(missing)
+                continue
+            a, b = n.a, n.b
+            if n.kind == ALT:
+                a = frozenset(new[m] for m in n.a)
+            elif n.kind in (SEQ, STAR):
+                a, b = new[n.a], None if n.b is None else new[n.b]
+            elif n.kind == NOTFIRST:
+                b = new[n.b]
+            new[n] = self._mk(n.kind, a, b, n.nullable)
+            stack.pop()
+        self.limit = max(MAX_NODES, 2 * len(self.table))
+        return new[state]

@@ -46,7 +46,9 @@ bitor = factor (arop factor)*
 arop = '+' | '-' | '*' | '/' | '//' | '%' | '@' | '<<' | '>>' | '&' | '|' | '^'
 factor = ('-' | '+' | '~')* power
 power = 'await'? atom trailer* ('**' factor)?
-atom = nm | NUM | STR+ | 'None' | 'True' | 'False' | '...' | '(' (yieldx | gexpr (compfor | (',' gexpr)* ','?))? ')' | '[' (gexpr (compfor | (',' gexpr)* ','?))? ']' | '{' dictset? '}'
+atom = nm | NUM | (STR | fstr)+ | 'None' | 'True' | 'False' | '...' | '(' (yieldx | gexpr (compfor | (',' gexpr)* ','?))? ')' | '[' (gexpr (compfor | (',' gexpr)* ','?))? ']' | '{' dictset? '}'
+fstr = FSTART ffield* FEND
+ffield = 'F{' value 'F='? 'F!'? ('F:' ffield*)? 'F}'
 dictset = gexpr (compfor | (',' gexpr)* ','?) | ditem (compfor | (',' ditem)* ','?)
 ditem = test ':' test | '**' bitor
 compfor = ('async'? 'for' targets 'in' ortest ('if' (ortest | nm ':=' test))*)+
@@ -243,17 +245,19 @@ garg = LIFE | type | nm ('<' garg %? ',' '>')? ('=' type | ':' bounds) | '-'? li
 path = '::'? pseg ('::' pseg)*
 pseg = nm | 'Self' | 'self' | 'super' | 'crate' | '<' garg %? ',' '>' | '<' type 'as' tpath '>'
 literal = NUM | STR | 'true' | 'false'
-block = '{' inattr* stmt* expr? '}'
-stmt = ';' | item | attr* 'let' pat (':' type)? ('=' expr ('else' block)?)? ';' | attr* blocklike (';' | ('.' | '?') !('_') stmttail)? | attr* expr ';'
-stmttail = ~(';') | expr ';'
+block = '{' inattr* body '}'
+body = none | ';' body | item body | attr* 'let' pat (':' type)? ('=' expr ('else' block)?)? ';' body | attr* blocklike (';'? body | dotted (';' body)?) | attr* expr0 (';' body)?
+none =
+dotted = ('?' | '.' member) post* (binop unary | '..' unary? | '..=' unary)*
 blocklike = 'unsafe'? block | 'async' 'move'? block | 'const' block | (LIFE ':')? (loop | block) | if | match | mpath '!' '{' tt* '}'
 loop = 'loop' block | 'while' cond block | 'for' pat 'in' exprn block
 if = 'if' cond block ('else' (if | block))?
 cond = condpart ('&&' condpart)*
 condpart = exprn | 'let' pat '=' exprn
-match = 'match' exprn '{' inattr* arm* lastarm? '}'
-arm = attr* pat ('if' cond)? '=>' (expr ',' | blocklike ','?)
-lastarm = attr* pat ('if' cond)? '=>' expr
+match = 'match' exprn '{' inattr* arms '}'
+arms = none | attr* pat ('if' cond)? '=>' (blocklike (','? arms | dotted (',' arms)?) | expr0 (',' arms)?)
+expr0 = range | unary0 (binop unary | '..' unary? | '..=' unary)*
+unary0 = prefix+ (prim post* | closure | jump) | prim0 post* | closure | jump
 expr = range | unary (binop unary | '..' unary? | '..=' unary)*
 exprn = rangen | unaryn (binop unaryn | '..' unaryn? | '..=' unaryn)*
 range = '..' unary? (binop unary)* | '..=' unary (binop unary)*
@@ -262,12 +266,15 @@ binop = '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '<<' | '>' '>' | '>' '>=
 prefix = '-' | '!' | '*' | ('&' | '&&') ('raw' ('const' | 'mut') | 'mut')?
 unary = prefix* (prim post* | closure | jump)
 unaryn = prefix* (primn post* | closure | jumpn)
-post = '?' | '.' (nm ('::' '<' garg %? ',' '>')? ('(' args ')')? | NUM | 'await') | '(' args ')' | '[' expr ']' | 'as' type1
+post = '?' | '.' member | '(' args ')' | '[' expr ']' | 'as' type1
 args = (attr* expr) %? ','
+member = nm ('::' '<' garg %? ',' '>')? ('(' args ')')? | NUM | 'await'
 jump = 'return' expr? | 'break' LIFE? expr? | 'continue' LIFE?
 jumpn = 'return' exprn? | 'break' LIFE? exprn? | 'continue' LIFE?
 closure = forlt? ('static' | 'async' | 'move')* ('|' (attr* pat1 (':' type)?) %? ',' '|' | '||') (expr | ret block)
-primn = literal | path ('!' ('(' tt* ')' | '[' tt* ']' | '{' tt* '}'))? | 'macro_rules' '!' tt | '(' args ')' | '[' (args | expr ';' expr) ']' | blocklike | '_'
+primn = plain | path '!' '{' tt* '}' | blocklike
+plain = literal | path ('!' ('(' tt* ')' | '[' tt* ']'))? | 'macro_rules' '!' tt | '(' args ')' | '[' (args | expr ';' expr) ']' | '_'
+prim0 = plain | path '{' structlit '}'
 prim = primn | path '{' structlit '}'
 structlit = ((attr* (nm | NUM) (':' expr)?) % ',' (',' ('..' expr?)?)?)? | '..' expr?
 pat = '|'? pat1 ('|' pat1)*
@@ -290,7 +297,8 @@ tterm = '~'? type
 sig = '(' params ')' result?
 result = '(' params ')' | type
 params = (NAME? '...'? type | NAME) %? ','
-type = tname | '*' type | '[' ']' type | '[' (expr | '...') ']' type | 'map' '[' type ']' type | 'chan' '<-'? type | '<-' 'chan' type | 'func' sig | struct | interface | '(' type ')'
+type = ptype | '(' type ')'
+ptype = tname | '*' type | '[' ']' type | '[' (expr | '...') ']' type | 'map' '[' type ']' type | 'chan' '<-'? type | '<-' 'chan' type | 'func' sig | struct | interface
 tname = NAME ('.' NAME)? ('[' type % ',' ','? ']')?
 struct = 'struct' '{' (fieldd ';')* fieldd? '}'
 fieldd = (NAME % ',' type | '*'? tname) STR?
@@ -312,9 +320,9 @@ binop = '||' | '&&' | '==' | '!=' | '<' | '<=' | '>' | '>=' | '+' | '-' | '|' |
 prefix = '+' | '-' | '!' | '^' | '*' | '&' | '<-'
 unary = prefix* prim post*
 unaryn = prefix* primn post*
-post = '.' (NAME | '(' (type | 'type') ')') | '[' (expr | type) (',' type)* ','? ']' | '[' expr? ':' expr? (':' expr)? ']' | '(' args ')'
-args = ((expr | type) '...'?) %? ','
-primn = NAME | NUM | STR | '(' (expr | type) ')' | 'func' sig block? | ('[' ']' type | '[' (expr | '...') ']' type | 'map' '[' type ']' type | struct) lit? | 'chan' type | interface
+post = '.' (NAME | '(' (type | 'type') ')') | '[' (expr | ptype) (',' type)* ','? ']' | '[' expr? ':' expr? (':' expr)? ']' | '(' args ')'
+args = ((expr | ptype) '...'?) %? ','
+primn = NAME | NUM | STR | '(' (expr | ptype) ')' | 'func' sig block? | ('[' ']' type | '[' (expr | '...') ']' type | 'map' '[' type ']' type | struct) lit? | 'chan' type | interface
 prim = primn | tname lit
 lit = '{' (elem (',' elem)* ','?)? '}'
 elem = ((expr | lit) ':')? (expr | lit)
@@ -412,7 +420,8 @@ asgop = '=' | '*=' | '/=' | '%=' | '+=' | '-=' | '<<=' | '>>=' | '&=' | '^=' | '
 binop = '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<<' | '>>' | '+' | '-' | '*' | '/' | '%'
 unary = ('++' | '--' | '&' | '*' | '+' | '-' | '~' | '!' | '__extension__' | 'sizeof' | '(' typename ')')* (prim post* | ('sizeof' | '_Alignof') '(' typename ')')
 prim = NAME | NUM | CHR | (NAME? STR)+ NAME? | '(' expr ')' | '(' block ')' | '(' typename ')' '{' (desig? init) %? ',' '}' | '_Generic' '(' assign (',' (typename | 'default') ':' assign)+ ')'
-post = '[' expr ']' | '(' ((assign | typename) % ',')? ')' | '.' NAME | '->' NAME | '++' | '--'
+argtype = tspecs ptr ('(' '*' qual* ptr ')' dsuf*)? ('[' cond? ']')*
+post = '[' expr ']' | '(' ((assign | argtype) % ',')? ')' | '.' NAME | '->' NAME | '++' | '--'
 """
 
 JSON = r"""

@@ -45,7 +45,7 @@ _ESC1 = r"'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'"
 _ESC2 = r'"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"'
 _BLOCK = r"/\*[\s\S]*?\*/"
 
-_PY_PRE = r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?"
+_PY_PRE = r"(?:[rR][bB]?|[bB][rR]?|[uU])?"
 _SPEC = {
     "python": [
         ("STR", rf"{_PY_PRE}(?:'''(?:[^\\]|\\[\s\S])*?'''|\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\")"),
@@ -275,6 +275,43 @@ def tokens(text: str, lang: str):
 
 
 _PY_INDENT = re.compile(r"[ \t\f]*")
+_PY_FORMAT = re.compile(r"([fF][rR]?|[rR][fF])(\'\'\'|\"\"\"|\'|\")")
+_PY_BRACE = re.compile(r"\\N\{[^{}\n]*\}|\\(?:\r\n|[^{}])|\{\{|\}\}|[{}]|\'\'\'|\"\"\"|[\'\"\r\n]")
+_PY_RAW_BRACE = re.compile(r"\\[\'\"\\\r\n]|\{\{|\}\}|[{}]|\'\'\'|\"\"\"|[\'\"\r\n]")
+_PY_CONVERT = re.compile(r"![rsa](?!\w)")
+_PY_SHOWN = re.compile(r"=(?=\s*(?:[}:]|![rsa]))")
+
+
+class _Field:
+    """What is open in a format text: its text ("L"), a field's expression ("E") at some bracket
+    depth, or the field's format ("S")."""
+
+    __slots__ = ("mode", "quote", "raw", "depth")
+
+    def __init__(self, mode: str, quote: str, raw: bool, depth: int):
+        self.mode, self.quote, self.raw, self.depth = mode, quote, raw, depth
+
+
+def _format_text(text: str, i: int, top: _Field) -> tuple[str, int]:
+    """(class, end) of the next mark in the text or format part of a format text."""
+    pattern = _PY_RAW_BRACE if top.raw else _PY_BRACE
+    while True:
+        m = pattern.search(text, i)
+        if not m:
+            return "CUT", i
+        v, i = m.group(), m.end()
+        if v == top.quote or top.mode == "S" and len(top.quote) == 1 and v[:1] == top.quote:
+            return "FEND" if top.mode == "L" else "ERR", i
+        if v[0] in "'\"" and len(v) == 3:
+            i = m.start() + 1  # a shorter quote than three, or three of the other sort
+            if top.quote == v[0]:
+                return "FEND" if top.mode == "L" else "ERR", i
+        elif v in "\r\n" and len(top.quote) == 1:
+            return "ERR", m.start()
+        elif v == "{" or v == "{{" and top.mode == "S":
+            return "F{", m.start() + 1
+        elif v == "}" or v == "}}" and top.mode == "S":
+            return ("F}" if top.mode == "S" else "ERR"), m.start() + 1
 
 
 def _python(text: str):
@@ -282,9 +319,28 @@ def _python(text: str):
     words = WORDS["python"]
     i, n = (1 if text.startswith("\ufeff") else 0), len(text)
     stack, depth, opened = [(0, 0)], 0, []
+    fields: list[_Field] = []
     at_start = True
     close = {")": "(", "]": "[", "}": "{"}
     while i < n:
+        top = fields[-1] if fields else None
+        if top and top.mode != "E":
+            cls, j = _format_text(text, i, top)
+            yield cls, i, False
+            if cls in ("CUT", "ERR"):
+                return
+            i = j
+            if cls == "FEND":
+                fields.pop()
+            elif cls == "F{":
+                depth += 1
+                opened.append("F")
+                fields.append(_Field("E", top.quote, top.raw, depth))
+            else:  # the end of a format ends its field
+                del fields[-2:]
+                depth -= 1
+                opened.pop()
+            continue
         if at_start and not depth:
             m = _PY_INDENT.match(text, i)
             j = m.end()
@@ -335,6 +391,30 @@ def _python(text: str):
                 yield "CUT", i, False
                 return
             continue
+        if top and depth == top.depth and ch in "}:!=":
+            if ch == "}":
+                yield "F}", i, False
+                fields.pop()
+                depth -= 1
+                opened.pop()
+                i += 1
+                continue
+            if ch == ":":
+                yield "F:", i, False
+                fields.append(_Field("S", top.quote, top.raw, depth))
+                i += 1
+                continue
+            m = _PY_CONVERT.match(text, i) if ch == "!" else _PY_SHOWN.match(text, i)
+            if m:
+                yield "F" + ch, i, False
+                i = m.end()
+                continue
+        m = _PY_FORMAT.match(text, i) if ch in "fFrR" else None
+        if m:
+            yield "FSTART", i, False
+            fields.append(_Field("L", m.group(2), "r" in m.group(1).lower(), depth))
+            i = m.end()
+            continue
         m = pattern.match(text, i)
         if not m:
             yield "ERR", i, False
@@ -358,6 +438,9 @@ def _python(text: str):
             return
         yield cls, i, False
         i = m.end()
+    if fields and fields[-1].mode != "E":
+        yield "CUT", n, False
+        return
     if depth:
         return  # the brackets still open make the end state refuse the text
     if not at_start:
