@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from stratalith.operators.scale import materialise
 
 WINDOW_ITEMS = 1_000  # items differenced together; the rest of a window's last container is the loss
 
@@ -102,8 +102,11 @@ def fill_containers(items: DataFrame, specs: DataFrame, key: str = "doc_id", siz
 
     Items are dealt by hash into windows of about WINDOW_ITEMS, whatever their key, so no task
     grows with the data; each window is packed apart and loses at most the rest of one container.
+    The sizes are written once: counting, cutting and packing all read them. Specs of one name and
+    two capacities are two specs.
     """
     rows = items.select(F.col(key).alias("k"), F.col(size).cast("bigint").alias("s")).where(F.col("k").isNotNull() & (F.col("s") > 0)).distinct()
+    rows = materialise(rows)
     caps = specs.select("spec_name", F.col("capacity").cast("bigint").alias("capacity")).where(F.col("capacity") > 0).distinct()
     each = rows.crossJoin(F.broadcast(caps))  # a handful of capacities, stated as parameters
     cut = each.withColumn("full", F.floor(F.col("s") / F.col("capacity")))
@@ -125,7 +128,7 @@ def fill_containers(items: DataFrame, specs: DataFrame, key: str = "doc_id", siz
         return pd.DataFrame({"spec_name": pdf["spec_name"], "capacity": pdf["capacity"], "k": pdf["k"], "part": pdf["part"], "tokens": pdf["tokens"], "container": names})
 
     schema = f"spec_name string, capacity bigint, k {kind}, part bigint, tokens bigint, container string"
-    packed = dealt.groupBy("spec_name", "w").applyInPandas(solve, schema)
+    packed = dealt.groupBy("spec_name", "capacity", "w").applyInPandas(solve, schema)
     both = packed.unionByName(whole.select(packed.columns))
     return both.select("spec_name", "capacity", "container", F.col("k").alias(key), "part", F.col("tokens").alias(size))
 
