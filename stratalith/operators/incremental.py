@@ -5,8 +5,9 @@ successful run, its own upper limit], and the upper limit is fixed when the run
 that arrive meanwhile wait for the next run. A failed run moves nothing: the next successful one
 covers its interval too.
 
-``change_feed`` replays every successful run of a log in one plan; ``IncrementalStore`` is the
-same step for production, committing output, state and watermark together.
+``IncrementalStore`` is one such step, committing output, state and watermark together; ``replay``
+takes a log of runs through it, failed ones included. ``change_feed`` states the same result in one
+plan without a store.
 """
 
 from __future__ import annotations
@@ -94,13 +95,21 @@ def change_feed(signatures: DataFrame, runs: DataFrame, parse_cache: DataFrame)
     return changed.select(F.element_at(ids, F.col("pos") + 1).alias("run_id"), "repo", "rel_path")
 
 
+FEW_KEYS = 200_000  # keys (of some 100 bytes) up to which a run's keys are sent to the readers of the state
+
+
 @dataclass
 class IncrementalStore:
     """State, outputs and watermark of a repeated run, under ``root`` in a shared filesystem.
 
-    ``root/v=<n>/{state,output}`` are written first; renaming ``root/commits/<n>.tmp`` to
-    ``<n>`` publishes both together with the watermark. A run that dies before the rename leaves
-    files nobody reads, and its interval is read again."""
+    A run writes the keys it met to ``root/v=<n>-<random>/delta``, then renames
+    ``root/commits/<n>-<random>.tmp`` to ``<n>``: output, state and watermark are published
+    together. A run that dies before the rename leaves files nobody reads, and its interval is
+    read again.
+
+    The state is a short list of parts, each with the newest state of some keys. A run writes only
+    the keys it met; it merges them with the last parts as long as these are not twice as large, so
+    there are at most log2(keys) parts and a key is rewritten as often at most."""
 
     spark: SparkSession
     root: str
@@ -112,7 +121,7 @@ class IncrementalStore:
 
     def changed(self, commit: dict) -> DataFrame:
         """The changed files of a commit."""
-        return self.spark.read.parquet(commit["state"]).where("changed").select("repo", "rel_path")
+        return self.spark.read.parquet(commit["delta"]).where("changed").select("repo", "rel_path")
 
     def last_commit(self) -> dict | None:
         jvm, fs = self._fs()
@@ -126,12 +135,25 @@ class IncrementalStore:
         rows = self.spark.read.text(f"{self.root}/commits/{max(done)}").collect()
         return json.loads(rows[0]["value"])
 
+    def _write(self, df: DataFrame, path: str) -> tuple[DataFrame, int]:
+        df.write.parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        return written, written.count()
+
+    def state(self, commit: dict | None = None) -> DataFrame | None:
+        """(repo, rel_path, v) with one row per key and part, or None without a commit."""
+        commit = commit or self.last_commit()
+        if commit is None:
+            return None
+        return self.spark.read.parquet(*[part["path"] for part in commit["parts"]]).select("repo", "rel_path", "v")
+
     def run(self, signatures: DataFrame, parse_cache: DataFrame, upper, fail_before_commit: bool = False, batch: tuple[str, int] | None = None) -> DataFrame:
         """Process what came after the watermark up to ``upper``; returns the changed files.
 
-        With ``batch``, a stream and the number of its batch, every row is processed and the
-        watermark stays: the batch, not ``loaded_at``, says what is new. A stream's last batch given
-        again is not processed again; its committed files are returned."""
+        ``parse_cache`` is the state before the first run and is read by that run only. With
+        ``batch``, a stream and the number of its batch, every row is processed and the watermark
+        stays: the batch, not ``loaded_at``, says what is new. A stream's last batch given again is
+        not processed again; its committed files are returned."""
         last = self.last_commit()
         batches = last.get("batches", {}) if last else {}
         if batch is not None:
@@ -146,36 +168,30 @@ class IncrementalStore:
             if watermark is not None:
                 rows = rows.where(F.col("loaded_at") > _limit(watermark))
             watermark = str(upper)
-        if last:
-            state = self.spark.read.parquet(last["state"])
-        else:
-            state = None
-        new = rows.groupBy("repo", "rel_path").agg(F.max("v").alias("v"))
-        if state is None:
-            merged = new.withColumn("was", F.lit(None).cast(new.schema["v"].dataType))
+        target = f"{self.root}/v={n}-{uuid.uuid4().hex[:8]}"
+        new, count = self._write(rows.groupBy("repo", "rel_path").agg(F.max("v").alias("v")), f"{target}/new")
+        parts = last["parts"] if last else []
+        if not last:
+            kind = new.schema["v"].dataType
+            entry = F.struct(*[(F.col(f"entry.{f.name}") if f.name in ("len", "mtime_ns") else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind])
+            seed, seeded = self._write(_entries(parse_cache).select("repo", "rel_path", entry.alias("v")), f"{target}/seed")
+            parts = [{"path": f"{target}/seed", "rows": seeded}]
+            old = seed
         else:
-            old = state.select(F.col("repo").alias("r0"), F.col("rel_path").alias("p0"), F.col("v").alias("was"))
-            joined = new.join(old, new["repo"].eqNullSafe(old["r0"]) & (new["rel_path"] == old["p0"]), "full")
-            merged = joined.select(
-                F.coalesce("repo", "r0").alias("repo"), F.coalesce("rel_path", "p0").alias("rel_path"),
-                F.greatest("v", "was").alias("v"), "was", F.col("v").isNotNull().alias("fresh"),
-            )
-        if "fresh" not in merged.columns:
-            merged = merged.withColumn("fresh", F.lit(True))
-        entries = _entries(parse_cache)
-        cond = merged["repo"].eqNullSafe(entries["repo"]) & (merged["rel_path"] == entries["rel_path"])
-        full = merged.join(entries, cond, "left").select(merged["repo"], merged["rel_path"], "v", "was", "fresh", "entry")
+            old = self.state(last)
+        met = self._met(old, new, count)
+        now = F.greatest("v", "was")  # nulls, as an entry's walked_at, come first
         pick = lambda s: F.struct(s["len"].alias("len"), s["mtime_ns"].alias("mtime_ns"))
-        before = F.when(F.col("was").isNotNull(), pick(F.col("was"))).otherwise(F.col("entry"))
-        full = full.withColumn("changed", F.col("fresh") & ~pick(F.col("v")).eqNullSafe(before))
-        target = f"{self.root}/v={n}-{uuid.uuid4().hex[:8]}"
-        full.select("repo", "rel_path", "v", "changed").write.parquet(f"{target}/all")
+        before = F.when(F.col("was").isNotNull(), pick(F.col("was")))
+        delta = met.select("repo", "rel_path", now.alias("v"), (~pick(now).eqNullSafe(before)).alias("changed"), F.lit(n).alias("n"))
+        _, size = self._write(delta, f"{target}/delta")
+        parts = self._merged(parts, {"path": f"{target}/delta", "rows": size}, target)
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")
-        jvm, fs = self._fs()
         if batch is not None:
-            batches = batches | {batch[0]: {"number": batch[1], "state": f"{target}/all"}}
-        commit = {"n": n, "watermark": watermark, "state": f"{target}/all", "batches": batches}
+            batches = batches | {batch[0]: {"number": batch[1], "delta": f"{target}/delta"}}
+        commit = {"n": n, "watermark": watermark, "delta": f"{target}/delta", "parts": parts, "batches": batches}
+        jvm, fs = self._fs()
         path = jvm.org.apache.hadoop.fs.Path
         staged = path(f"{self.root}/commits/{n}-{uuid.uuid4().hex[:8]}.tmp")
         out = fs.create(staged)
@@ -184,4 +200,76 @@ class IncrementalStore:
         # without the overwrite option a rename onto a published commit fails, and only one writer wins
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         context.rename(staged, path(f"{self.root}/commits/{n}"), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        fs.delete(path(f"{target}/new"), True)
         return self.changed(commit)
+
+    @staticmethod
+    def _met(old: DataFrame, new: DataFrame, count: int) -> DataFrame:
+        """``new`` with ``was``, the newest former state of its keys. Few keys (counted) are sent to
+        the readers of the state, which then is not shuffled."""
+        keys = new.select(F.col("repo").alias("_r"), F.col("rel_path").alias("_p"))
+        keys = F.broadcast(keys) if count <= FEW_KEYS else keys
+        hit = old.join(keys, old["repo"].eqNullSafe(keys["_r"]) & (old["rel_path"] == keys["_p"]), "left_semi")
+        both = new.select("repo", "rel_path", "v", F.lit(None).cast(new.schema["v"].dataType).alias("was")).unionAll(
+            hit.select("repo", "rel_path", F.lit(None).cast(new.schema["v"].dataType).alias("v"), F.col("v").alias("was"))
+        )
+        return both.groupBy("repo", "rel_path").agg(F.max("v").alias("v"), F.max("was").alias("was"))
+
+    def _merged(self, parts: list[dict], delta: dict, target: str) -> list[dict]:
+        kept, taken, rows = list(parts), [delta], delta["rows"]
+        while kept and kept[-1]["rows"] <= 2 * rows:
+            taken.append(kept.pop())
+            rows += taken[-1]["rows"]
+        if len(taken) == 1:
+            return [*kept, delta]
+        whole = self.spark.read.parquet(*[p["path"] for p in taken]).groupBy("repo", "rel_path").agg(F.max("v").alias("v"))
+        _, size = self._write(whole, f"{target}/merged")
+        return [*kept, {"path": f"{target}/merged", "rows": size}]
+
+    def vacuum(self) -> int:
+        """Delete the folders that the last commit no longer needs, with those of runs that died;
+        returns how many. Not to be called while a run is at work."""
+        last = self.last_commit()
+        jvm, fs = self._fs()
+        if last is None:
+            return 0
+        used = " ".join([last["delta"], *(p["path"] for p in last["parts"]), *(b["delta"] for b in last["batches"].values())])
+        gone = [s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.root)) if s.getPath().getName().startswith("v=") and s.getPath().getName() not in used]
+        for folder in gone:
+            fs.delete(folder, True)
+        return len(gone)
+
+
+def replay(signatures: DataFrame, runs: DataFrame, parse_cache: DataFrame, root: str) -> DataFrame:
+    """(run_id, repo, rel_path): what every successful run of the log committed.
+
+    Each run of the log is one run of an ``IncrementalStore`` at ``root``, from the watermark to
+    its own start; runs without success write their output and die before the commit, so the next
+    successful one covers their interval too. The log is laid out by the run that first sees a row,
+    so a run reads the rows of its own interval only. Cases as in ``change_feed``."""
+    spark = signatures.sparkSession
+    log = runs.where(F.col("started_at").isNotNull()).select("run_id", "started_at", "status").distinct().orderBy("started_at", "run_id").collect()  # small by contract
+    if not any(r["status"] == "success" for r in log):
+        return spark.createDataFrame([], "run_id bigint, repo string, rel_path string")
+    kind = signatures.schema["loaded_at"].dataType
+    uppers = F.array(*[_limit(r["started_at"]).cast(kind) for r in log])
+    columns = ["repo", "rel_path", "len", "mtime_ns", "walked_at", "loaded_at", "sig_id"]
+    first = F.size(F.filter(uppers, lambda u: u < F.col("loaded_at")))
+    rows = signatures.where(F.col("loaded_at").isNotNull()).select(*columns, first.alias("first")).where(F.col("first") < len(log))
+    rows.write.partitionBy("first").parquet(f"{root}/log")
+    landed = spark.read.schema(rows.schema).parquet(f"{root}/log")
+    store, at, outputs = IncrementalStore(spark, f"{root}/store"), 0, {}
+    for k, run in enumerate(log):
+        mine = landed.where(F.col("first").between(at, k))
+        if run["status"] == "success":
+            store.run(mine, parse_cache, run["started_at"])
+            commit = store.last_commit()
+            outputs[commit["n"]], at = (run["run_id"], commit["delta"]), k + 1
+        else:
+            try:
+                store.run(mine, parse_cache, run["started_at"], fail_before_commit=True)
+            except RuntimeError:
+                pass
+    ids = F.create_map(*[F.lit(x) for n, (run_id, _) in outputs.items() for x in (n, int(run_id))])
+    written = spark.read.parquet(*[path for _, path in outputs.values()]).where("changed")
+    return written.select(ids[F.col("n")].cast("bigint").alias("run_id"), "repo", "rel_path")

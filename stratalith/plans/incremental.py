@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalith.operators.incremental import change_feed
+from stratalith.operators.incremental import change_feed, replay
+from stratalith.operators.scale import shared_dir
 from stratalith.sources.tables import table
 
 
+def _tables(spark, d):
+    return table(spark, d, "signatures"), table(spark, d, "index_runs"), table(spark, d, "parse_cache")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return change_feed(table(spark, d, "signatures"), table(spark, d, "index_runs"), table(spark, d, "parse_cache"))
+    """Run by run through the store, with the failed runs of the log in between."""
+    return replay(*_tables(spark, d), shared_dir(spark))
+
+
+def p5_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows from one plan over the whole log."""
+    return change_feed(*_tables(spark, d))
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p5_found": p5_found, "p5_feed": p5_feed}
 
 _PATH = r"regexp_replace(replace(rel_path, '\', '/'), '^\./', '')"
 
@@ -39,3 +50,4 @@ LEFT JOIN entry e ON e.repo IS NOT DISTINCT FROM n.repo AND e.path = n.path
 WHERE n.st IS DISTINCT FROM coalesce(o.st, e.st)
 """
 }
+ORACLE["p5_feed"] = ORACLE["p5_found"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stratalith import render
 from stratalith.api import Engine
 from stratalith.operators import bm25, changes, dense, framework, fusion, structure, symbols
-from stratalith.operators.incremental import IncrementalStore, change_feed
+from stratalith.operators.incremental import IncrementalStore, change_feed, replay
 from stratalith.operators.index import Index, stale, upsert
 from stratalith.operators.scale import lookup_join, rank_in_groups
 from stratalith.sources import repo as trees
@@ -127,6 +127,40 @@ def test_change_feed_and_store_agree(spark, tmp_path):
                 store.run(sigs, cache, at(hour), fail_before_commit=True)
         seen |= {(run, x["repo"], x["rel_path"]) for x in store.run(sigs, cache, at(hour)).collect()}
     assert seen == got and store.last_commit()["n"] == 4
+    # two folders of the run that died and of the last commit's forebears go, the state stays
+    state = {(x["repo"], x["rel_path"]) for x in store.state().collect()}
+    assert store.vacuum() >= 1 and store.vacuum() == 0 and {(x["repo"], x["rel_path"]) for x in store.state().collect()} == state == {("r", "a/b"), ("r", "c"), ("r", "d"), ("r", "zz"), (None, "f")}
+
+
+def test_replay_takes_the_failed_runs_along(spark, tmp_path):
+    sigs, runs, cache, _ = _log(spark)
+    wide = sigs.withColumn("first", F.lit("a clashing name"))
+    want = sorted(map(str, change_feed(sigs, runs, cache).collect()))
+    assert sorted(map(str, replay(wide, runs, cache, f"file://{tmp_path}/a").collect())) == want
+    assert len([f for f in os.listdir(f"{tmp_path}/a/store/commits") if f.isdigit()]) == 4
+    assert len([f for f in os.listdir(f"{tmp_path}/a/store") if f.startswith("v=")]) == 6  # the failed runs wrote theirs
+    assert replay(sigs.limit(0), runs, cache, f"file://{tmp_path}/b").count() == 0
+    assert replay(sigs, runs.where("status = 'failed'"), cache, f"file://{tmp_path}/c").count() == 0
+
+
+def test_store_parts_stay_few_and_many_keys_are_joined_by_shuffle(spark, tmp_path, monkeypatch):
+    from stratalith.operators import incremental
+
+    _, _, cache, at = _log(spark)
+    monkeypatch.setattr(incremental, "FEW_KEYS", 3)
+    store, expected = IncrementalStore(spark, f"file://{tmp_path}/s"), {}
+    for n in range(1, 7):
+        rows = [(n * 100 + i, "r" if i % 3 else None, f"p{i % (3 * n)}", n, i, at(n), at(n)) for i in range(2 * n)]
+        got = {(x["repo"], x["rel_path"]) for x in store.run(spark.createDataFrame(rows, SIGS), cache.limit(0), at(n)).collect()}
+        want = {}
+        for _, repo, path, size, mtime, walked, loaded in rows:
+            want[repo, path] = (size, mtime)
+        assert got == {k for k, v in want.items() if expected.get(k) != v}
+        expected |= want
+        sizes = [p["rows"] for p in store.last_commit()["parts"]]
+        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    best = store.state().groupBy("repo", "rel_path").agg(F.max("v").alias("v")).select("repo", "rel_path", "v.len", "v.mtime_ns").collect()
+    assert {(a, b): (c, d) for a, b, c, d in best} == expected
 
 
 def test_name_status_numstat_and_hunks():
