@@ -47,10 +47,20 @@ def p6_weights(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.log_entropy(table(spark, d, "postings")).select("doc_id", "term", "df", F.round("weight", 6).alias("weight"))
 
 
+def p6_top(spark: SparkSession, d: str) -> DataFrame:
+    """The terms that weigh most in every chunk."""
+    return distinctive.top_terms(table(spark, d, "postings"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return rankmix.fused_top(table(spark, d, "hits"), table(spark, d, "queries")).select("query_id", "chunk_id")
 
 
+def p7_walk(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking by the walk itself."""
+    return rankmix.walk_top(table(spark, d, "hits"), table(spark, d, "queries")).select("query_id", "chunk_id", "place")
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Where every document goes, for each capacity."""
     sized = sizes.with_sizes(table(spark, d, "documents").select("doc_id", "text"))
@@ -73,7 +83,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p8_containers": p8_containers, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found,
-    "p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p7_found": p7_found}
+    "p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p6_top": p6_top, "p7_found": p7_found, "p7_walk": p7_walk}
 
 ORACLE = {
     "p4_found": """
@@ -94,6 +104,29 @@ WITH p AS (SELECT term, doc_id, sum(tf) AS tf FROM (SELECT DISTINCT term, doc_id
 g AS (SELECT term, sum(tf)::DOUBLE AS gf, count(*) AS df FROM p GROUP BY term),
 e AS (SELECT p.term, any_value(g.df) AS df, -sum((p.tf / g.gf) * ln(p.tf / g.gf)) / ln((SELECT count(DISTINCT doc_id) FROM p)) AS h FROM p JOIN g USING (term) GROUP BY p.term)
 SELECT p.doc_id, p.term, e.df, round(ln(1 + p.tf) * greatest(0, 1 - e.h), 6) AS weight FROM p JOIN e USING (term)
+""",
+    "p6_top": """
+WITH p AS (SELECT term, doc_id, sum(tf) AS tf FROM (SELECT DISTINCT term, doc_id, tf FROM postings WHERE tf > 0 AND term IS NOT NULL AND doc_id IS NOT NULL) GROUP BY ALL),
+g AS (SELECT term, sum(tf)::DOUBLE AS gf FROM p GROUP BY term),
+e AS (SELECT p.term, -sum((p.tf / g.gf) * ln(p.tf / g.gf)) / ln((SELECT count(DISTINCT doc_id) FROM p)) AS h FROM p JOIN g USING (term) GROUP BY p.term)
+SELECT * FROM (SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY round(ln(1 + p.tf) * greatest(0, 1 - e.h), 9) DESC, p.term)::INT AS rank, p.term FROM p JOIN e USING (term)) WHERE rank <= 5
+""",
+    "p7_walk": """
+WITH RECURSIVE h AS (
+  SELECT query_id, chunk_id, lower(trim(source)) AS s, max(score) AS score FROM hits
+  WHERE score IS NOT NULL AND NOT isnan(score) AND lower(trim(source)) IN ('bm25', 'semantic') AND query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, s ORDER BY score DESC, chunk_id) AS n FROM h),
+i AS (SELECT query_id, chunk_id, max(n) FILTER (s = 'bm25') AS rb, max(n) FILTER (s = 'semantic') AS rs FROM r GROUP BY ALL),
+t AS (SELECT query_id, max(rb) AS tb, max(rs) AS ts, count(*)::DOUBLE AS n FROM i GROUP BY query_id HAVING max(rb) IS NOT NULL AND max(rs) IS NOT NULL),
+q AS (SELECT query_id, max(alpha) AS alpha FROM queries GROUP BY query_id),
+g AS (SELECT query_id, chunk_id, coalesce(rb, tb + 1) AS ob, coalesce(rs, ts + 1) AS os, coalesce(rb, n) AS cb, coalesce(rs, n) AS cs, n, coalesce(alpha, 0.5) AS a FROM i JOIN t USING (query_id) LEFT JOIN q USING (query_id)),
+w AS (
+  SELECT 0 AS step, *, 1.0::DOUBLE / n AS x FROM g
+  UNION ALL
+  SELECT step + 1, query_id, chunk_id, ob, os, cb, cs, n, a,
+    0.15 / n + 0.85 * ((1 - a) * sum(x / cb) OVER (PARTITION BY query_id ORDER BY ob DESC) + a * sum(x / cs) OVER (PARTITION BY query_id ORDER BY os DESC)) FROM w WHERE step < 60
+), m AS (SELECT query_id, chunk_id, x / sum(x) OVER (PARTITION BY query_id) AS walk FROM w WHERE step = 60)
+SELECT query_id, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(walk, 9) DESC, chunk_id)::INT AS place FROM m) WHERE place <= 5
 """,
     "p7_found": """
 WITH h AS (

@@ -12,13 +12,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalith.operators.scale import heavy_keys, key_counts, materialise, rank_in_groups, shuffle_partitions, split_heavy
 
 BLOCK = 4096
 BUCKET_ROWS = 200_000
+SOURCES = ("bm25", "semantic")
 SETTLED = 1e-12  # the walk stops when no mass moves more in a step
 
 
@@ -150,22 +151,37 @@ def _heavy_walk(heavy: DataFrame, cols: list[str], names: list[str], damping: fl
     return state.join(F.broadcast(mass), "g").withColumn("walk", F.col("x") / F.col("_mass"))
 
 
-def fused_top(hits: DataFrame, queries: DataFrame, k: int = 5, constant: int = 60, heavy_floor: int = 100_000) -> DataFrame:
-    """(query_id, chunk_id, walk, rrf, place) of the ``k`` best chunks per query with both sources.
-
-    Ranks and membership come from the rank walk's own table; the required order is the weighted
-    reciprocal-rank sum over those ranks, rounded to 12 decimals, ties to the smaller chunk_id."""
-    sources = ["bm25", "semantic"]
-    ranks = ranked_sources(hits, "query_id", "chunk_id", "source", "score", sources, heavy_floor)
+def _both_sources(hits: DataFrame, queries: DataFrame, heavy_floor: int) -> tuple[DataFrame, DataFrame]:
+    """(ranks, weights) of the queries with usable hits in both bm25 and semantic; null alpha is 0.5."""
+    ranks = ranked_sources(hits, "query_id", "chunk_id", "source", "score", SOURCES, heavy_floor)
     both = ranks.groupBy("query_id").agg(F.max("rank_bm25").alias("a"), F.max("rank_semantic").alias("b"))
     both = both.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("query_id")
     alphas = queries.select("query_id", "alpha").groupBy("query_id").agg(F.max("alpha").alias("alpha"))
     weights = both.join(alphas, "query_id", "left").select(
         "query_id", F.coalesce("alpha", F.lit(0.5)).alias("w_semantic")
     ).withColumn("w_bm25", 1 - F.col("w_semantic"))
-    kept = ranks.join(both, "query_id", "left_semi")
-    walked = rank_walk(kept, weights, "query_id", "chunk_id", sources, heavy_floor=heavy_floor)
+    return ranks.join(both, "query_id", "left_semi"), weights
+
+
+def _places(scored: DataFrame, order: Column, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(order.desc(), F.col("chunk_id").asc())
+    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def walk_top(hits: DataFrame, queries: DataFrame, k: int = 5, heavy_floor: int = 100_000) -> DataFrame:
+    """(query_id, chunk_id, walk, place): the ``k`` chunks of greatest stationary mass per query with
+    both sources, to 9 decimals; ties go to the smaller chunk_id."""
+    ranks, weights = _both_sources(hits, queries, heavy_floor)
+    walked = rank_walk(ranks, weights, "query_id", "chunk_id", SOURCES, heavy_floor=heavy_floor)
+    return _places(walked, F.round("walk", 9), k).select("query_id", "chunk_id", "walk", "place")
+
+
+def fused_top(hits: DataFrame, queries: DataFrame, k: int = 5, constant: int = 60, heavy_floor: int = 100_000) -> DataFrame:
+    """(query_id, chunk_id, rrf, place) of the ``k`` best chunks per query with both sources.
+
+    The order is the weighted reciprocal-rank sum over the same ranks that the walk takes, rounded
+    to 12 decimals, ties to the smaller chunk_id. No stationary order gives this one (README)."""
+    ranks, weights = _both_sources(hits, queries, heavy_floor)
     part = lambda s: F.coalesce(F.col(f"w_{s}") / (constant + F.col(f"rank_{s}")), F.lit(0.0))
-    scored = walked.join(weights, "query_id").withColumn("rrf", F.round(part("semantic") + part("bm25"), 12))
-    w = Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), F.col("chunk_id").asc())
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "chunk_id", "walk", "rrf", "place")
+    scored = ranks.join(weights, "query_id").withColumn("rrf", F.round(part("semantic") + part("bm25"), 12))
+    return _places(scored, F.col("rrf"), k).select("query_id", "chunk_id", "rrf", "place")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from stratalith.llm.distinctive import distinctive_terms, log_entropy
-from stratalith.llm.rankmix import fused_top, rank_walk, ranked_sources, stationary
+from stratalith.llm.rankmix import fused_top, rank_walk, ranked_sources, stationary, walk_top
 from stratalith.llm.topn import top_n
 
 
@@ -129,6 +129,12 @@ def test_fused_top_equals_brute_force(spark):
             want |= {(qid, c) for c in sorted(sums, key=lambda c: (-round(sums[c], 12), c))[:5]}
     assert {(x["query_id"], x["chunk_id"]) for x in fused_top(df, q).collect()} == want
     assert fused_top(df.limit(0), q).count() == 0
+    walked = walk_top(df, q, 3).collect()
+    assert {x["query_id"] for x in walked} == {k for k, _ in want} and max(x["place"] for x in walked) == 3
+    for qid in {x["query_id"] for x in walked}:
+        mass = [x["walk"] for x in sorted(walked, key=lambda x: x["place"]) if x["query_id"] == qid]
+        assert mass == sorted(mass, reverse=True)
+    assert walk_top(df.limit(0), q).count() == 0
 
 
 def test_large_groups_take_the_same_steps_as_small_ones(spark, monkeypatch):
