@@ -10,15 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalith.llm.quantise import Quantiser, fit
-from stratalith.operators.scale import lookup_join, materialise
+from stratalith.operators.scale import HEAVY_PER_PARTITION, lookup_join, materialise, shuffle_partitions
 
-FIT_ROWS = 20_000  # vectors the codebooks are fitted on, at most
-CELL_ROWS = 256  # vectors per cell aimed at
-MAX_CELLS = 2_500  # the cell table goes to every executor
-PROBES = 12  # cells searched per vector
-SHORTLIST = 64  # vectors per cell and query that are compared exactly
-MEMBER_BLOCK = 4_096  # a task compares at most this many vectors
-QUERY_BLOCK = 16_384  # with at most this many
+FIT_ROWS = 20_000  # vectors the codebooks and cells are fitted on, at most
+CELL_ROWS = 256  # vectors per cell aimed at, whatever their number
+PROBES = 16  # cells searched per vector
+MEMBER_BLOCK = 4_096  # a task compares so many vectors of one cell at once
+QUERY_BLOCK = 16_384  # with so many
+SLACK = 1e-4  # what rounding may add to a distance from codes
 
 
 def usable_vectors(vectors: DataFrame, dim: int = 64) -> DataFrame:
@@ -43,7 +42,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def nearest(vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, dim: int = 64, probes: int = PROBES, shortlist: int = SHORTLIST) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, dim: int = 64, probes: int | None = PROBES) -> DataFrame:
     """(vec_id, neighbour, cosine, rank): for every usable row the ``k`` others of greatest cosine.
 
     Ties go to the smaller vec_id; pairs below ``min_cosine`` do not come out. Null, short, NaN,
@@ -53,10 +52,13 @@ def nearest(vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, dim: int =
     Rows with one vector form a class of which only the smallest ids are needed as neighbours
     (``k`` + 1 cover every member), so a vector shared by a third of all rows costs one entry.
     Codebooks and cells are fitted on the FIT_ROWS classes of smallest hash; every class is
-    encoded and indexed. A query visits its ``probes`` nearest cells, additive codes order each
-    cell, and the first ``shortlist`` are compared exactly. What one side finds serves both.
-    Cells are cut into blocks, so no task holds more than MEMBER_BLOCK x QUERY_BLOCK. The loss is
-    measured against brute force in the tests (recall at least 0.9 is required there).
+    encoded and indexed. A query visits its ``probes`` nearest cells. There the distance from its
+    additive code, less the stored error of that code, bounds a member's true distance from
+    below; members whose bound exceeds ``min_cosine`` or the k-th smallest upper bound cannot
+    come out, all others are compared exactly. So only unvisited cells can hold a lost neighbour,
+    and ``probes=None`` visits all: the exact answer. What one side finds serves both.
+    Cells hold CELL_ROWS vectors on average at every size; larger ones are cut into blocks. The
+    loss is measured against brute force in the tests (recall at least 0.9 is required there).
     """
     spark = vectors.sparkSession
     out = "vec_id bigint, neighbour bigint, cosine double, rank int"
@@ -74,10 +76,12 @@ def nearest(vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, dim: int =
     count = classes.count()
     if not count:
         return spark.createDataFrame([], out)
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("embedding").toPandas()["embedding"]
-    cells = int(np.clip(count // CELL_ROWS, 1, MAX_CELLS))
-    q = fit(_unit(np.array(sample.tolist(), np.float32)), cells)
-    pairs = _search(classes, q, k, min_cosine, probes, shortlist)
+    # the FIT_ROWS smallest hashes lie below this bound, but for chance; only these rows are sorted
+    share = min(1.0, 1.25 * FIT_ROWS / count + 1e-3)
+    hashed = classes.select("rep", "embedding", F.xxhash64("rep").alias("h")).where(F.col("h") <= int(share * 2**64) - 2**63 - (share == 1.0))
+    sample = hashed.orderBy("h", "rep").limit(FIT_ROWS).select("embedding").toPandas()["embedding"]
+    q = fit(_unit(np.array(sample.tolist(), np.float32)), max(1, count // CELL_ROWS))
+    pairs = _search(classes, q, k, min_cosine, len(q.cells) if probes is None else probes)
 
     both = pairs.union(pairs.select("b", "a", "cosine")).toDF("rep", "b", "cosine").groupBy("rep", "b").agg(F.max("cosine").alias("cosine"))
     order = Window.partitionBy("rep").orderBy(F.col("cosine").desc(), "b")
@@ -101,48 +105,38 @@ def nearest(vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, dim: int =
     )
 
 
-def _search(classes: DataFrame, q: Quantiser, k: int, min_cosine: float, probes: int, shortlist: int) -> DataFrame:
-    """(a, b, cosine) between class representatives, at most ``k`` per query and visited cell."""
+def _search(classes: DataFrame, q: Quantiser, k: int, min_cosine: float, probes: int) -> DataFrame:
+    """(a, b, cosine) between class representatives, at most ``k`` per query and visited block."""
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast(q)
-    probes = min(probes, len(q.cells))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = shared.value
-        norms = (z.cells**2).sum(1)
         for whole in batches:
             for i in range(0, len(whole), 2_000):
                 pdf = whole.iloc[i : i + 2_000]
                 raw = np.array(pdf["embedding"].tolist(), np.float32)
                 x = _unit(raw).astype(np.float32)
-                d = norms[None, :] - 2 * x @ z.cells.T
-                near = np.argpartition(d, probes - 1, axis=1)[:, :probes]
-                near = np.take_along_axis(near, np.take_along_axis(d, near, 1).argsort(1), 1)
                 codes, lengths = z.encode(x)
+                off = np.linalg.norm(x - z.decode(codes), axis=1)
                 yield pd.DataFrame({
                     "rep": pdf["rep"].to_numpy(), "raw": [r.tobytes() for r in raw], "code": [c.tobytes() for c in codes],
-                    "len2": lengths.astype(np.float32), "near": list(near.astype(np.int32)),
+                    "len2": lengths.astype(np.float32), "off": off.astype(np.float32), "near": list(z.cells.nearest(x, probes)),
                 })
 
     coded = materialise(
-        classes.select("rep", "embedding").mapInPandas(encode, "rep bigint, raw binary, code binary, len2 float, near array<int>")
+        classes.select("rep", "embedding").mapInPandas(encode, "rep bigint, raw binary, code binary, len2 float, off float, near array<bigint>")
     )
     visits = coded.select("rep", "raw", F.posexplode("near").alias("place", "cell"))
     counts = visits.groupBy("cell").agg(F.count_if(F.col("place") == 0).alias("m"), F.count(F.lit(1)).alias("q"))
-    blocks = counts.select(  # one row per cell: at most MAX_CELLS
-        "cell", F.greatest(F.ceil(F.col("m") / MEMBER_BLOCK), F.lit(1)).cast("int").alias("mbs"),
-        F.greatest(F.ceil(F.col("q") / QUERY_BLOCK), F.lit(1)).cast("int").alias("qbs"),
-    )
-    blocks = F.broadcast(blocks)
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    members = (
-        coded.select("rep", "raw", "code", "len2", F.col("near")[0].alias("cell")).join(blocks, "cell")
-        .withColumn("mb", F.pmod(F.xxhash64("rep"), F.col("mbs")).cast("int")).withColumn("qb", spread(F.col("qbs")))
-    )
-    asked = (
-        visits.join(blocks, "cell").withColumn("qb", F.pmod(F.xxhash64("rep"), F.col("qbs")).cast("int"))
-        .withColumn("mb", spread(F.col("mbs")))
-    )
+    blocks = _blocks(counts)
+    cut = lambda df: df if blocks is None else df.join(F.broadcast(blocks), "cell", "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(1)) if blocks is not None else F.lit(1)
+    mine = lambda c: F.pmod(F.xxhash64("rep"), number(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), (number(c) - 1).cast("int")))
+    members = cut(coded.select("rep", "raw", "code", "len2", "off", F.col("near")[0].alias("cell"))).withColumn("mb", mine("mbs")).withColumn("qb", each("qbs"))
+    asked = cut(visits).withColumn("qb", mine("qbs")).withColumn("mb", each("mbs"))
+    most = float(np.sqrt(max(0.0, 2 - 2 * min_cosine))) + SLACK
 
     def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "cosine": np.array([], float)})
@@ -150,34 +144,55 @@ def _search(classes: DataFrame, q: Quantiser, k: int, min_cosine: float, probes:
             return none
         z = shared.value
         codes = np.frombuffer(b"".join(mine["code"]), np.uint8).reshape(len(mine), -1)
-        lengths = mine["len2"].to_numpy(np.float32)
+        lengths, off = mine["len2"].to_numpy(np.float32), mine["off"].to_numpy(np.float32) + np.float32(SLACK)
         ids, x = mine["mrep"].to_numpy(), _unit(_matrix(mine["mraw"]))
-        keep = min(shortlist, len(ids))
         found = []
-        for i in range(0, len(theirs), 1_024):
-            part = theirs.iloc[i : i + 1_024]
+        for i in range(0, len(theirs), 512):
+            part = theirs.iloc[i : i + 512]
             names, y = part["qrep"].to_numpy(), _unit(_matrix(part["qraw"]))
-            if keep < len(ids):
-                short = np.argpartition(z.distances(y.astype(np.float32), codes, lengths), keep - 1, axis=1)[:, :keep]
+            d = np.sqrt(np.maximum(1 + z.distances(y.astype(np.float32), codes, lengths), 0))
+            upper = d + off
+            upper[ids[None, :] == names[:, None]] = 9.0  # not its own neighbour
+            bound = np.minimum(np.partition(upper, k - 1, axis=1)[:, k - 1], most) if len(ids) > k else np.full(len(names), most)
+            row, col = np.nonzero(d - off <= bound[:, None])
+            if len(row) > 0.05 * d.size:
+                cosine = (y @ x.T)[row, col]
             else:
-                short = np.broadcast_to(np.arange(len(ids)), (len(names), len(ids)))
-            cosine = np.einsum("qd,qkd->qk", y, x[short]) if keep < len(ids) else y @ x.T
-            other = ids[short]
-            cosine = np.where(other == names[:, None], -9.0, np.minimum(cosine, 1.0))
-            order = np.lexsort((other, -cosine), axis=1)[:, :k]
-            cosine, other = np.take_along_axis(cosine, order, 1), np.take_along_axis(other, order, 1)
-            good = (cosine >= min_cosine) & (cosine > -2)
-            found.append(pd.DataFrame({"a": np.repeat(names, good.sum(1)), "b": other[good], "cosine": cosine[good]}))
+                cosine = np.einsum("pd,pd->p", y[row], x[col])
+            cosine, other = np.minimum(cosine, 1.0), ids[col]
+            good = (cosine >= min_cosine) & (other != names[row])
+            row, other, cosine = row[good], other[good], cosine[good]
+            o = np.lexsort((other, -cosine, row))
+            row, other, cosine = row[o], other[o], cosine[o]
+            first = np.searchsorted(row, row)
+            best = np.arange(len(row)) - first < k
+            found.append(pd.DataFrame({"a": names[row[best]], "b": other[best], "cosine": cosine[best]}))
         return pd.concat(found) if found else none
 
     # new names on both sides: they come from one table
-    members = members.select("cell", "mb", "qb", "rep", "raw", "code", "len2").toDF("mc", "mm", "mq", "mrep", "mraw", "code", "len2")
+    members = members.select("cell", "mb", "qb", "rep", "raw", "code", "len2", "off").toDF("mc", "mm", "mq", "mrep", "mraw", "code", "len2", "off")
     asked = asked.select("cell", "mb", "qb", "rep", "raw").toDF("qc", "qm", "qq", "qrep", "qraw")
     return members.groupBy("mc", "mm", "mq").cogroup(asked.groupBy("qc", "qm", "qq")).applyInPandas(
         compare, "a bigint, b bigint, cosine double"
     )
 
 
+def _blocks(counts: DataFrame) -> DataFrame | None:
+    """(cell, mbs, qbs) of the cells that are cut into blocks of members and of queries, or None.
+
+    A cell is cut above MEMBER_BLOCK or QUERY_BLOCK rows, but never below the heavy bound of
+    ``operators.scale``: at most HEAVY_PER_PARTITION cells per shuffle partition are cut by either
+    count, so the list is bounded."""
+    spark = counts.sparkSession
+    total = counts.agg(F.sum("m").alias("m"), F.sum("q").alias("q")).first()
+    share = HEAVY_PER_PARTITION * shuffle_partitions(spark)
+    mb, qb = max(MEMBER_BLOCK, (total["m"] or 0) // share), max(QUERY_BLOCK, (total["q"] or 0) // share)
+    rows = counts.where((F.col("m") > mb) | (F.col("q") > qb)).select(
+        "cell", F.greatest(F.ceil(F.col("m") / mb), F.lit(1)).alias("mbs"), F.greatest(F.ceil(F.col("q") / qb), F.lit(1)).alias("qbs")
+    ).collect()
+    return spark.createDataFrame(rows, "cell bigint, mbs bigint, qbs bigint") if rows else None
+
+
 def similar_pairs(vectors: DataFrame, k: int = 5, min_cosine: float = 0.85, dim: int = 64) -> DataFrame:
     """(vec_id_a, vec_id_b), a < b: one is among the ``k`` nearest of the other, from ``min_cosine``."""
     found = nearest(vectors, k, min_cosine, dim)

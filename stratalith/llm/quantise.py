@@ -31,13 +31,69 @@ def assign(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return near, d[np.arange(len(x)), near] + (x**2).sum(1)
 
 
+BEAM_CELLS = 32  # words of the first level whose cells are looked at
+CELL_FLOATS = 8_000_000  # distances to cells held at once
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Coarse cells in two levels: the centre of cell i * len(second) + j is first[i] + second[j],
+    so that n cells need 2 sqrt(n) words and a bounded sample can fit them."""
+
+    first: np.ndarray
+    second: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.first) * len(self.second)
+
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` nearest cells of each row, nearest first."""
+        k, b = len(self.second), min(len(self.first), BEAM_CELLS)
+        n = min(n, b * k)
+        norms = (self.first**2).sum(1)[:, None] + (self.second**2).sum(1)[None, :] + 2 * self.first @ self.second.T
+        out = []
+        step = max(1, CELL_FLOATS // (b * k))
+        for i in range(0, len(x), step):
+            part = x[i : i + step]
+            one, two = part @ self.first.T, part @ self.second.T
+            best = np.argpartition((self.first**2).sum(1) - 2 * one, b - 1, axis=1)[:, :b]
+            d = norms[best] - 2 * np.take_along_axis(one, best, 1)[:, :, None] - 2 * two[:, None, :]
+            cell = (best[:, :, None] * k + np.arange(k)).reshape(len(part), -1)
+            d = d.reshape(len(part), -1)
+            near = np.argpartition(d, n - 1, axis=1)[:, :n]
+            near = np.take_along_axis(near, np.take_along_axis(d, near, 1).argsort(1, kind="stable"), 1)
+            out.append(np.take_along_axis(cell, near, 1))
+        return np.concatenate(out).astype(np.int64) if out else np.empty((0, n), np.int64)
+
+
+def fit_cells(x: np.ndarray, cells: int, rng: np.random.Generator, rounds: int = 5) -> Cells:
+    """Residual k-means, then least squares for one level given the other in turn. Centres start
+    from random rows, so a dense region gets cells in proportion to its rows."""
+    side = max(1, int(np.ceil(np.sqrt(cells))))
+    first = kmeans(x, side, rng)
+    second = kmeans(x - first[assign(x, first)[0]], side, rng)
+    for _ in range(rounds):
+        cell = Cells(first, second).nearest(x, 1)[:, 0]
+        i, j = cell // len(second), cell % len(second)
+        first = _means(x - second[j], i, first)
+        second = _means(x - first[i], j, second)
+    return Cells(first, second)
+
+
+def _means(x: np.ndarray, group: np.ndarray, old: np.ndarray) -> np.ndarray:
+    sums = np.zeros_like(old, np.float64)
+    np.add.at(sums, group, x)
+    counts = np.bincount(group, minlength=len(old))
+    return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], old).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class Quantiser:
     """``books`` codebooks of full-dimensional words (books x words x dim); a vector is the sum
     of one word of each. ``cells`` are the coarse centres of the inverted lists."""
 
     words: np.ndarray
-    cells: np.ndarray
+    cells: Cells
     beam: int = 8
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +136,7 @@ def fit(x: np.ndarray, cells: int, books: int = 8, words: int = 128, rounds: int
     solution for all words alternate."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
-    coarse = kmeans(x, cells, rng)
+    coarse = fit_cells(x, cells, rng)
     words = max(1, min(words, len(x)))
     table = np.zeros((books, words, x.shape[1]), np.float32)
     residual = x.copy()

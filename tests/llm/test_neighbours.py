@@ -49,12 +49,27 @@ def test_recall_on_many_cells_and_blocks(spark, monkeypatch):
     got = {(x["vec_id"], x["neighbour"]) for x in nearest(df, 5, 0.7).collect()}
     want = {(a, b) for a, v in brute(rows, 5, 0.7).items() for b in v}
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+    exact = {(x["vec_id"], x["neighbour"]) for x in nearest(df, 5, 0.7, probes=None).collect()}
+    assert exact == want
+
+
+def test_a_third_of_all_rows_in_one_tight_cluster(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MEMBER_BLOCK", 100)
+    r = np.random.default_rng(5)
+    rows = clustered(1400, 4)
+    tight = r.normal(size=64) + 0.02 * r.normal(size=(700, 64))
+    rows += [(5000 + i, [float(v) for v in row.astype(np.float32)]) for i, row in enumerate(tight)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {(x["vec_id"], x["neighbour"]) for x in nearest(df, 5, 0.7).collect()}
+    want = {(a, b) for a, v in brute(rows, 5, 0.7).items() for b in v}
+    assert len(got & want) >= 0.95 * len(want)
 
 
 def test_codes_order_like_exact_distances():
     x = np.array([v for _, v in clustered(800)], np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     q = fit(x, 4, books=6, words=32)
+    assert len(q.cells) == 4 and q.cells.nearest(x, 9).shape == (len(x), 4)
     codes, lengths = q.encode(x)
     back = q.decode(codes)
     assert np.allclose(lengths, (back**2).sum(1), atol=1e-4)
