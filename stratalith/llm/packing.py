@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ def difference(sizes: Sequence[int], ways: int) -> list[list[int]]:
             merged += a[: len(a) - over]
             for (x, left), (y, right) in zip(a[len(a) - over :], reversed(rest)):
                 merged.append((x + y, (left, right)))
-        merged.sort(key=lambda g: -g[0])
+        merged.sort(key=itemgetter(0), reverse=True)
         low = merged[-1][0] if len(merged) == ways else 0
         heapq.heappush(heap, (-(merged[0][0] - low), tick, merged))
         tick += 1
