@@ -6,13 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalith.operators.scale import materialise
+from stratalith.operators.scale import lookup_join, materialise
 
-TOPICS = 64  # commonest topics kept apart; all others are one
-LANGS = 32
 BIG = 0.005  # texts above this part of their source's target are drawn first
 BLOCK_ROWS = 100_000  # rows of a block, on average
-CELLS = 1_000_000  # the cell table is solved on the driver and must stay below this
+CELLS = 1_000_000  # cells up to which the driver solves the cell table; larger tables are solved by the cluster
 
 
 def rake(tokens: np.ndarray, most: np.ndarray, source: np.ndarray, targets: np.ndarray, others: list[np.ndarray], steps: int = 200) -> np.ndarray:
@@ -44,6 +42,35 @@ def rake(tokens: np.ndarray, most: np.ndarray, source: np.ndarray, targets: np.n
     return x
 
 
+def rake_cluster(cells: DataFrame, share: dict[str, float], caps: dict[str, float], steps: int = 40) -> DataFrame:
+    """``rake`` for a cell table of any size: (source, lang, topic, tok, rate) with one aggregation
+    and one join per marginal and step. ``share`` is tokens wanted per source."""
+    cap = F.create_map(*[F.lit(v) for kv in caps.items() for v in kv])
+    state = materialise(cells.withColumn("cap", cap[F.col("source")].cast("double")).withColumn("rate", F.lit(1.0)))
+    total = state.agg(F.sum("tok")).first()[0]
+    for _ in range(steps):
+        nxt = state.withColumn("old", F.col("rate"))
+        for label in ("lang", "topic"):
+            have = nxt.groupBy(label).agg(F.sum(F.col("rate") * F.col("tok")).alias("h"), F.sum("tok").alias("s"), F.count(F.lit(1)).alias("n"))
+            have = materialise(have)
+            mixed = have.agg(F.sum("h")).first()[0]
+            goal = F.col("s") / F.lit(float(total)) * F.lit(float(mixed))
+            nxt = lookup_join(nxt, have, [label], "n").withColumn("rate", F.least("cap", F.col("rate") * F.when(F.col("h") > 0, goal / F.col("h")).otherwise(1.0))).drop("h", "s", "n")
+            nxt = materialise(nxt)
+        for _ in range(50):  # one row per source comes to the driver
+            rows = nxt.groupBy("source").agg(F.sum(F.col("rate") * F.col("tok")).alias("h"), F.max(F.col("rate") < F.col("cap")).alias("free")).collect()
+            if all(not r["free"] or abs(r["h"] - share[r["source"]]) <= 1e-9 * max(share[r["source"]], 1) for r in rows):
+                break
+            up = {r["source"]: share[r["source"]] / r["h"] if r["h"] > 0 else 1.0 for r in rows}
+            factor = F.create_map(*[F.lit(v) for kv in up.items() for v in kv])
+            nxt = nxt.withColumn("rate", F.least("cap", F.col("rate") * factor[F.col("source")]))
+        state = materialise(nxt)
+        if (state.agg(F.max(F.abs(F.col("rate") - F.col("old")))).first()[0] or 0) < 1e-6:
+            break
+        state = state.drop("old")
+    return state.select("source", "lang", "topic", "tok", "rate")
+
+
 def feasible_total(supply: np.ndarray, shares: np.ndarray, repeats: np.ndarray) -> float:
     """Largest total at which every source with supply still meets its share."""
     usable = (supply > 0) & (shares > 0)
@@ -65,8 +92,9 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | str | None = No
     sources. Repeated rows count once. An empty table
     or no usable target gives an empty result.
 
-    Tokens are raked over cells of source, language and topic (the folder after the source in
-    doc_path); languages and topics keep their shares of the supply as far as the sources allow.
+    Tokens are raked over cells of source, language (the primary subtag, so en-GB is en) and topic
+    (the folder after the source in doc_path); every language and topic keeps its share of the
+    supply as far as the sources allow.
     Copies are drawn systematically by size within blocks cut by hash, large texts first; the rates
     of the small ones are then calibrated to what remains of the source's target.
     """
@@ -82,34 +110,34 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | str | None = No
     names = [r["s"] for r in wanted]
     topic = F.regexp_extract(F.coalesce("doc_path", F.lit("")), r"^[^/]*/([^/]+)/", 1)
     docs = documents.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.trim("source")).alias("source"), F.lower(F.substring(F.coalesce("lang", F.lit("")), 1, 2)).alias("lang"),
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.trim("source")).alias("source"), F.lower(F.split(F.trim(F.coalesce("lang", F.lit(""))), "[-_]")[0]).alias("lang"),
         topic.alias("topic"), F.col(size).cast("bigint").alias("tok"),
     ).where(F.col("source").isin(names) & (F.col("tok") > 0) & F.col("doc_id").isNotNull()).distinct()
     docs = materialise(docs)
-    common = lambda c, n: [r[0] for r in docs.groupBy(c).agg(F.sum("tok").alias("t")).orderBy(F.col("t").desc(), c).limit(n).collect()]
-    docs = docs.withColumn("topic", F.when(F.col("topic").isin(common("topic", TOPICS)), F.col("topic")).otherwise("")).withColumn(
-        "lang", F.when(F.col("lang").isin(common("lang", LANGS)), F.col("lang")).otherwise("")
-    )
-    # at most sources * LANGS * TOPICS cells, checked against CELLS
-    cells = docs.groupBy("source", "lang", "topic").agg(F.sum("tok").alias("tok")).limit(CELLS + 1).toPandas()
-    if len(cells) > CELLS:
-        raise ValueError("too many cells of source, language and topic")
-    if cells.empty:
+    table = materialise(docs.groupBy("source", "lang", "topic").agg(F.sum("tok").alias("tok"), F.count(F.lit(1)).alias("_docs")))
+    number = table.count()
+    if not number:
         return spark.createDataFrame([], out)
-    cells = cells.sort_values(["source", "lang", "topic"]).reset_index(drop=True)
-    code = cells["source"].map({s: i for i, s in enumerate(names)}).to_numpy()
     share = np.array([float(r["t"]) for r in wanted])
     caps = np.array([float(r["m"]) for r in wanted])
-    tok = cells["tok"].to_numpy(float)
-    supply = np.bincount(code, tok, len(names))
+    had = {r["source"]: r["t"] for r in table.groupBy("source").agg(F.sum("tok").alias("t")).collect()}
+    supply = np.array([float(had.get(name, 0)) for name in names])
     share = np.where(supply > 0, share, 0)
     share = share / share.sum()
     size_wanted = feasible_total(supply, share, caps) if total is None else supply.sum() if total == "supply" else float(total)
-    cells["rate"] = rake(tok, caps[code], code, share * size_wanted, [cells["lang"].factorize()[0], cells["topic"].factorize()[0]])
-    cells["cap"] = caps[code].astype(int)
-    rates = spark.createDataFrame(cells[["source", "lang", "topic", "rate", "cap"]])
-    drawn = docs.join(F.broadcast(rates), ["source", "lang", "topic"])
     goal = dict(zip(names, (share * size_wanted).tolist()))
+    cap = F.create_map(*[F.lit(v) for kv in zip(names, caps.astype(int).tolist()) for v in kv])
+    keys = ["source", "lang", "topic"]
+    if number <= CELLS:
+        cells = table.toPandas().sort_values(keys).reset_index(drop=True)
+        code = cells["source"].map({s: i for i, s in enumerate(names)}).to_numpy()
+        cells["rate"] = rake(cells["tok"].to_numpy(float), caps[code], code, share * size_wanted, [cells["lang"].factorize()[0], cells["topic"].factorize()[0]])
+        rates = spark.createDataFrame(cells[[*keys, "_docs", "rate"]])
+    else:
+        rates = rake_cluster(table.select(*keys, "tok"), goal, dict(zip(names, caps.tolist()))).drop("tok").join(table.drop("tok"), keys)
+    rates = materialise(rates)
+    # a cell may hold a third of all documents
+    drawn = lookup_join(docs, rates, keys, "_docs").withColumn("cap", cap[F.col("source")])
     big = F.lit(False)
     for name in names:
         big = big | ((F.col("source") == name) & (F.col("tok") > goal[name] * BIG))

@@ -98,6 +98,25 @@ def test_mix_contract(spark):
     assert mix(docs.limit(0), targets).count() == 0 and mix(docs, targets.limit(0)).count() == 0
 
 
+def test_the_cluster_rakes_large_cell_tables_to_the_same_rates(spark, monkeypatch):
+    from stratalith.llm import mixing
+
+    r = random.Random(5)
+    cells = [(s, l, t, r.randint(1, 900)) for s in ("web", "wiki", "forum") for l in ("en", "de") for t in ("a", "b", "c") if r.random() < 0.9]
+    share, caps = {"web": 4000.0, "wiki": 3000.0, "forum": 900.0}, {"web": 1.0, "wiki": 3.0, "forum": 1.0}
+    code = np.array([list(share).index(c[0]) for c in cells])
+    number = lambda k: np.unique([c[k] for c in cells], return_inverse=True)[1]
+    want = rake(np.array([c[3] for c in cells], float), np.array([caps[c[0]] for c in cells]), code, np.array(list(share.values())), [number(1), number(2)], 6)
+    got = mixing.rake_cluster(spark.createDataFrame(cells, "source string, lang string, topic string, tok bigint"), share, caps, 6)
+    rates = {tuple(x)[:3]: x["rate"] for x in got.collect()}
+    assert [rates[c[:3]] for c in cells] == pytest.approx(want, rel=1e-6)
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    monkeypatch.setattr(mixing, "rake_cluster", lambda *a, f=mixing.rake_cluster: f(*a, 2))
+    docs = spark.createDataFrame([(i, r.choice(["web", "wiki"]), "en", f"x/{i % 3}/a", r.randint(5, 9)) for i in range(600)], "doc_id bigint, source string, lang string, doc_path string, tokens bigint")
+    targets = spark.createDataFrame([("web", 0.25, 2), ("wiki", 0.75, 4)], "source string, target_share double, max_repeats int")
+    assert {x["source"]: x["share"] for x in shares(mix(docs, targets), targets).collect()} == pytest.approx({"web": 0.25, "wiki": 0.75}, abs=0.01)
+
+
 def test_p9_takes_its_size_from_the_supply(spark, monkeypatch):
     from stratalith.llm import queries
 
