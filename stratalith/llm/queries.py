@@ -81,8 +81,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_documents(table(spark, d, "documents"))
 
 
+def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """By what the flagged documents are spam."""
+    return spam.spam_evidence(table(spark, d, "documents"))
+
+
 QUERIES = {
-    "p8_containers": p8_containers, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found,
+    "p8_containers": p8_containers, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_evidence": p10_evidence,
     "p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p6_top": p6_top, "p7_found": p7_found, "p7_walk": p7_walk}
 
 ORACLE = {

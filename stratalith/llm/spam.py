@@ -115,7 +115,7 @@ def _count(docs: list[tuple[int, list]], code) -> Iterator[pa.RecordBatch]:
 
 
 def spam_shares(documents: DataFrame) -> DataFrame:
-    """(doc_id, chars, spam_chars, links, incoherent, repeated, share) of every non-blank text.
+    """(doc_id, chars, spam_chars, links, incoherent, repeated, by_words, share) of every non-blank text.
 
     Corpus statistics count distinct texts, so neither repeats within a text nor copies of it make
     its pairs common: PMI(a, b) = ln(N c(a,b) / (c(a) c(b))) over the N texts. A segment (a sentence or a
@@ -152,7 +152,7 @@ def _shares(documents: DataFrame) -> DataFrame:
     rows = materialise(documents.mapInArrow(_pair_rows, _ROWS))
     found = rows.where(F.col("kind") != "word")
     docs = found.agg(F.count_distinct("doc_id")).first()[0]
-    out = "doc_id bigint, chars bigint, spam_chars bigint, links bigint, incoherent bigint, repeated bigint, share double"
+    out = "doc_id bigint, chars bigint, spam_chars bigint, links bigint, incoherent bigint, repeated bigint, by_words bigint, share double"
     if not docs:
         return documents.sparkSession.createDataFrame([], out)
     words = rows.where(F.col("kind") == "word").groupBy("h").agg(F.count(F.lit(1)).alias("c"))
@@ -179,9 +179,9 @@ def _shares(documents: DataFrame) -> DataFrame:
     )
     heads = found.where(F.col("h").isNull() & (F.col("kind") != "head")).select("doc_id", "seg", "kind", "chars").distinct()
     joined = heads.join(per_segment, ["doc_id", "seg"], "left")
-    text = F.col("kind").isin("prose", "item")
-    salad = text & (F.col("n") >= LEAST_PAIRS) & (F.col("pmi") / F.col("n") < INCOHERENT)
-    again = text & (F.col("rep") > REPEATED * F.col("n"))
+    # links and tags are judged by their words too; being listed is evidence of its own
+    salad = (F.col("n") >= LEAST_PAIRS) & (F.col("pmi") / F.col("n") < INCOHERENT)
+    again = (F.col("rep") > REPEATED * F.col("n"))
     listed = F.col("kind").isin("link", "tag", "item")
     flags = joined.select("doc_id", "chars", F.coalesce(salad, F.lit(False)).alias("salad"), F.coalesce(again, F.lit(False)).alias("again"), listed.alias("listed"))
     spam = F.col("salad") | F.col("again") | F.col("listed")
@@ -189,9 +189,21 @@ def _shares(documents: DataFrame) -> DataFrame:
     return flags.groupBy("doc_id").agg(
         F.sum(chars).alias("chars"), F.sum(F.when(spam, chars).otherwise(0)).alias("spam_chars"), F.sum(F.when(F.col("listed"), chars).otherwise(0)).alias("links"),
         F.sum(F.when(F.col("salad"), chars).otherwise(0)).alias("incoherent"), F.sum(F.when(F.col("again"), chars).otherwise(0)).alias("repeated"),
+        F.sum(F.when(F.col("salad") | F.col("again"), chars).otherwise(0)).alias("by_words"),
     ).withColumn("share", F.col("spam_chars") / F.col("chars"))
 
 
+def spam_evidence(documents: DataFrame, share: float = SHARE) -> DataFrame:
+    """(doc_id, share, incoherent, repeated, listed, method) of the flagged documents: shares of the
+    text by each evidence (they may overlap), and whether mean PMI and repeated collocations alone,
+    without links, tags and product lines, exceed ``share``."""
+    part = lambda c: F.round(F.col(c) / F.col("chars"), 6)
+    return spam_shares(documents).where(F.col("share") > share).select(
+        "doc_id", F.round("share", 6).alias("share"), part("incoherent").alias("incoherent"), part("repeated").alias("repeated"), part("links").alias("listed"),
+        (F.col("by_words") > share * F.col("chars")).alias("method"),
+    )
+
+
 def spam_documents(documents: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id) of the documents with more than ``share`` of their text spam."""
     return spam_shares(documents).where(F.col("share") > share).select("doc_id")
