@@ -34,6 +34,11 @@ def p3_handwritten(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.handwritten_chunks(table(spark, d, "chunks"), _origins(spark, d)).select("chunk_id").distinct()
 
 
+def p3_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How far the grammar rules of every file recur in other repositories."""
+    return handwritten.shared_rules(table(spark, d, "files"), table(spark, d, "library_files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "hits").select("hit_id", "chunk_id", "repo", "file_path", F.lower(F.trim("source")).alias("source"), "score")
     return topn.top_n(hits, ["repo", "file_path", "source"], "score", ["chunk_id", "hit_id"], 3).select("hit_id")
@@ -88,7 +93,7 @@ def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p8_containers": p8_containers, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_evidence": p10_evidence,
-    "p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_handwritten": p3_handwritten, "p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p6_top": p6_top, "p7_found": p7_found, "p7_walk": p7_walk}
+    "p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_handwritten": p3_handwritten, "p3_shared": p3_shared, "p4_found": p4_found, "p6_found": p6_found, "p6_weights": p6_weights, "p6_top": p6_top, "p7_found": p7_found, "p7_walk": p7_walk}
 
 ORACLE = {
     "p4_found": """

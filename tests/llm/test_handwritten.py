@@ -7,8 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratalith.llm.handwritten import Library, file_origins, handwritten_chunks, judge
-from stratalith.llm.repair import expand, infer, lengths, reuse, shapes
+from stratalith.llm import handwritten
+from stratalith.llm.handwritten import Library, file_origins, handwritten_chunks, judge, shared_rules
+from stratalith.llm.repair import expand, fingerprints, infer, lengths, reuse, shapes
 
 
 @settings(max_examples=200, deadline=None)
@@ -77,6 +78,7 @@ CASES = [
     ("a/b.py", "# Ported by hand from the old generated client; please edit freely.\n" + WRITTEN, None), ("a/b.py", "# Emits the 'DO NOT EDIT' and '@generated' banner for stubs.\n" + WRITTEN, None),
     ("a/b.py", WRITTEN + "print('Code generated by x. DO NOT EDIT.')\n", None), ("a/b.js", "// " + "one very long remark; " * 60 + "\nlet a = 1;\nfunction f(x) {\n  return x + a;\n}\n", None), ("c/settings.json", '{"a": [1, 2], "b": {"c": "d e"}}', None),
     ("a/b.py", "# Code generated by wire 3. DO NOT EDIT.\n" + WRITTEN, "generated"), ("a/b.rs", "// Automatisch erzeugt aus x.sql - bitte nicht von Hand bearbeiten.\nfn f() {}\n", "generated"), ("a/b.c", "/*\n * @generated by kit from x\n */\nint a;\n", "generated"),
+    ("a/b.py", WRITTEN + "\n# Autogenerated by forge, do not touch\n# checksum 59925744efe40af3\n", "generated"), ("a/b.c", "int f(void);\n/* This file was automatically generated from x.idl. */\n", "generated"), ("a/b.h", "#ifndef A\nint f(void);\n#endif\n", None), ("a/b.py", WRITTEN + "\n# Emits the '@generated' banner.\n", None),
     ("a/b.rs", CONSTS, "generated"), ("a/package-lock.json", LOCK, "lock"), ("a/other.json", LOCK, "lock"), ("a/b.js", MINI, "minified"), ("a/b.js", "/*! kit v3 */\n" + MINI, "minified"), ("a/b.py", TABLE, "data"), ("a/b.ts", BASE64, "data"),
     ("a/vendor/b.py", WRITTEN, "vendored"), ("node_modules/x/b.js", "let a = 1", "vendored"), ("a\\third_party\\b.py", WRITTEN, "vendored"), ("a/copy.py", LIB.replace("limit", "most"), "copied"), ("a/copy.py", LIB, "copied"),
 ]
@@ -84,7 +86,8 @@ CASES = [
 
 @pytest.mark.parametrize("path,text,want", CASES)
 def test_kinds_of_files(path, text, want):
-    assert judge(path, text, Library([(7, LIB.replace("Reader", "Object"))]))[0] == want
+    raw = shapes(LIB.replace("Reader", "Object"))[0]
+    assert judge(path, text, Library([(7, raw, fingerprints(raw))]))[0] == want
 
 
 def test_reuse_tells_tables_from_code():
@@ -101,3 +104,23 @@ def test_dataframe_contract(spark):
     assert file_origins(files.limit(0), lib.limit(0)).count() == 0
     chunks = spark.createDataFrame([(1, "r", "a.py"), (2, None, "vendor/x.c"), (3, "r", "c.py"), (4, "s", "c.py")], "chunk_id long, repo string, file_path string")
     assert {x[0] for x in handwritten_chunks(chunks, file_origins(files, lib)).select("chunk_id").collect()} == {1, 4}
+
+
+def test_a_library_beyond_one_pass_finds_the_same_copies(spark, monkeypatch):
+    files = spark.createDataFrame([(1, "r", "a.py", WRITTEN.encode()), (2, "r", "b.py", LIB.replace("limit", "most").encode()), (3, "r", "c.py", LIB.encode()), (4, "r", "d.py", None)], "file_id long, repo string, rel_path string, content binary")
+    lib = spark.createDataFrame([(i, LIB.replace("Reader", f"R{i}") if i < 6 else WRITTEN.replace("rows", f"x{i}").replace("total", f"t{i}")) for i in range(9)], "lib_id long, content string")
+    once = sorted(map(str, file_origins(files, lib).collect()))
+    monkeypatch.setattr(handwritten, "LIBRARY_MB", type("Small", (int,), {"__lshift__": lambda self, n: 2_000})(1))
+    assert sorted(map(str, file_origins(files, lib).collect())) == once and len(once) == 4
+
+
+def test_shared_rules_count_repositories(spark):
+    own = "".join(f"alpha{i} = beta{i} + alpha{i} + beta{i}\n" for i in range(30)) + "gamma = delta(gamma, delta(gamma, delta(gamma)))\n" * 4
+    rows = [(i, f"r{i}", "a.py", WRITTEN.encode()) for i in range(3)] + [(7, "r0", "b.py", WRITTEN.encode()), (8, None, "c.py", own.encode()), (9, "r9", "d.py", b"x = 1\n"), (9, "r9", "d.py", b"x = 1\n")]
+    files = spark.createDataFrame(rows, "file_id long, repo string, rel_path string, content binary")
+    lib = spark.createDataFrame([], "lib_id long, content string")
+    got = {x["file_id"]: x for x in shared_rules(files, lib).collect()}
+    rules = len(set(fingerprints(shapes(WRITTEN)[0])))
+    assert len(got) == 6 and all(got[i]["rules"] == rules and got[i]["share"] == 1.0 for i in (0, 1, 2, 7))
+    assert got[8]["rules"] > 0 and got[8]["shared"] == 0 and (got[9]["rules"], got[9]["share"]) == (0, 0.0)
+    assert shared_rules(files.limit(0), lib).count() == 0
