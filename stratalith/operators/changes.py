@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +107,29 @@ def table_of(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFra
     return spark.createDataFrame(list(rows), schema)
 
 
+def _cells(parse, schema: str):
+    """Rows of the texts of whole batches, each led by its repository."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(f"repo string, {schema}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(repo, *r) for repo, text in zip(batch["repo"].to_pylist(), batch["text"].to_pylist()) if text for r in parse(text)]
+            cols = list(zip(*rows)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, kinds)], schema=kinds)
+
+    return run
+
+
+def parsed(texts: DataFrame, kind: str) -> DataFrame:
+    """Rows of git's texts (repo, text), one text per repository or commit, parsed where they lie:
+    ``name_status``, ``numstat`` or ``hunks``. Null and empty texts have no rows."""
+    parse, schema = {"name_status": (parse_name_status, NAME_STATUS), "numstat": (parse_numstat, NUMSTAT), "hunks": (parse_unified, HUNKS)}[kind]
+    return texts.select("repo", "text").mapInArrow(_cells(parse, schema), f"repo string, {schema}")
+
+
 def overview(name_status: DataFrame, numstat: DataFrame, staged: DataFrame | None = None, unstaged: DataFrame | None = None) -> DataFrame:
     """(status, path, old_path, added, removed, binary, staged, unstaged): statuses with their
     counts; a file without counts in ``numstat`` is binary only if a null count is there. Marks
@@ -197,6 +221,56 @@ def body_lines(body: Column, mode: str) -> Column:
     return F.array_join(F.filter(lines, lambda x: F.substring(x, 1, 1).isin(marks[mode])), "\n")
 
 
+def hunk_snippet(body: Column) -> Column:
+    """The first changed line, trimmed, at most 100 characters."""
+    line = F.element_at(F.filter(F.split(body, "\n"), lambda x: F.substring(x, 1, 1).isin("+", "-")), 1)
+    return F.left(F.trim(line), F.lit(100))
+
+
+def drilldown(hunks: DataFrame, symbols: DataFrame, body: str = "full", within: DataFrame | None = None, most_bytes: int = 1 << 20) -> DataFrame:
+    """(path, hunk, old_lo, old_hi, new_lo, new_hi, added, removed, symbol, kind, spans, snippet, body,
+    body_bytes): every hunk with the smallest symbol that holds it, all that overlap it in source
+    order where there are several, and its body in one of the modes of ``body_lines``.
+
+    ``within`` (path, start_line, end_line) keeps the hunks that overlap one of its ranges. A file
+    whose bodies exceed ``most_bytes`` keeps none of them; ``body_bytes`` is the file's size."""
+    low = lambda c: F.greatest(F.col(c), F.lit(1))
+    high = lambda c, n: low(c) + F.greatest(F.col(n), F.lit(1)) - 1
+    rows = hunks.select(
+        "path", "hunk", low("old_start").alias("old_lo"), high("old_start", "old_len").alias("old_hi"), low("new_start").alias("new_lo"), high("new_start", "new_len").alias("new_hi"),
+        "added", "removed", hunk_snippet(F.col("body")).alias("snippet"), body_lines(F.col("body"), body).alias("body"),
+    )
+    if within is not None:
+        wanted = within.select(F.col("path").alias("_p"), F.col("start_line").alias("_a"), F.col("end_line").alias("_z"))
+        rows = rows.join(wanted, (rows["path"] == wanted["_p"]) & (F.col("new_lo") <= F.col("_z")) & (F.col("new_hi") >= F.col("_a")), "left_semi")
+    pairs = hunk_symbols(hunks, symbols)
+    facts = symbols.select(F.col("path").alias("_p"), F.col("qualname").alias("_q"), "kind", "start_line", "end_line").groupBy("_p", "_q").agg(
+        F.min(F.struct("start_line", "end_line", "kind")).alias("s")
+    )
+    named = pairs.join(facts, (pairs["path"] == facts["_p"]) & (pairs["symbol"] == facts["_q"]))
+    spans = named.groupBy(F.col("path").alias("_sp"), F.col("hunk").alias("_sh")).agg(
+        F.min(F.struct("place", "symbol", "s.kind")).alias("first"),
+        F.array_sort(F.collect_list(F.struct("s.start_line", (-F.col("s.end_line")).alias("z"), "symbol"))).alias("all"),  # the symbols over one hunk
+    )
+    out = rows.join(spans, (rows["path"] == spans["_sp"]) & (rows["hunk"] == spans["_sh"]), "left")
+    size = out.groupBy("path").agg(F.sum(F.octet_length("body")).cast("bigint").alias("body_bytes"))
+    spread = F.when(F.size("all") > 1, F.transform("all", lambda x: x["symbol"]))
+    return out.join(size, "path").select(
+        "path", "hunk", "old_lo", "old_hi", "new_lo", "new_hi", "added", "removed", F.col("first.symbol").alias("symbol"), F.col("first.kind").alias("kind"),
+        F.coalesce(spread, F.array().cast("array<string>")).alias("spans"), "snippet", F.when(F.col("body_bytes") <= most_bytes, F.col("body")).alias("body"), "body_bytes",
+    )
+
+
+def resolve_change(entries: DataFrame, wanted: str) -> DataFrame:
+    """(path) of the changed files meant by ``wanted``: the path itself, else those that end in its
+    components, else all below it as a folder."""
+    wanted = wanted.strip("/")
+    rank = F.when(F.col("path") == wanted, 0).when(F.endswith("path", F.lit("/" + wanted)), 1).when(F.startswith("path", F.lit(wanted + "/")), 2)
+    hit = entries.select("path", rank.alias("_rank")).where(F.col("_rank").isNotNull()).distinct()
+    best = hit.agg(F.min("_rank").alias("_best"))  # one row
+    return hit.join(F.broadcast(best), F.col("_rank") == F.col("_best")).select("path")
+
+
 def untracked_hunks(files: DataFrame, text: str = "text") -> DataFrame:
     """One all-added hunk per untracked text file (path, text)."""
     lines = F.split(F.regexp_replace(text, r"\n\z", ""), "\n")

@@ -92,7 +92,14 @@ def server_actions(files: DataFrame, text: str = "text") -> DataFrame:
     whole = F.col("code").rlike(r"""^\s*(?:['"]use strict['"];?\s*)?['"]use server['"]""")
     exported = F.regexp_extract_all("code", F.lit(r"export\s+(?:default\s+)?(?:async\s+)?function\s*([A-Za-z_$][\w$]*)"), F.lit(1))
     bound = F.regexp_extract_all("code", F.lit(r"export\s+const\s+([A-Za-z_$][\w$]*)\s*(?::[^=]*)?=\s*async\b"), F.lit(1))
-    listed = F.flatten(F.transform(F.regexp_extract_all("code", F.lit(r"export\s*\{([^}]*)\}"), F.lit(1)), lambda x: F.transform(F.split(x, ","), lambda p: F.trim(F.regexp_replace(p, r"^.*\sas\s", "")))))
+    # an export list counts where the local name before "as" is a function of the file
+    local = F.concat(
+        F.regexp_extract_all("code", F.lit(r"(?:^|\s)async\s+function\s*\*?\s*([A-Za-z_$][\w$]*)"), F.lit(1)),
+        F.regexp_extract_all("code", F.lit(r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]*)?=\s*async\b"), F.lit(1)),
+    )
+    items = F.flatten(F.transform(F.regexp_extract_all("code", F.lit(r"export\s*\{([^}]*)\}"), F.lit(1)), lambda x: F.split(x, ",")))
+    kept = F.filter(items, lambda p: F.array_contains(local, F.trim(F.regexp_replace(p, r"\sas\s.*$", ""))))
+    listed = F.transform(kept, lambda p: F.trim(F.regexp_replace(p, r"^.*\sas\s", "")))
     unnamed = F.when(F.col("code").rlike(r"export\s+default\s+(?:async\s+)?(?:function\s*\(|\(|async)"), F.array(F.lit("default"))).otherwise(F.array().cast("array<string>"))
     of_file = F.array_distinct(F.filter(F.concat(exported, bound, listed, unnamed), lambda n: n != ""))
     of_file = F.when(F.size(of_file) == 0, F.array(F.lit("*"))).otherwise(of_file)

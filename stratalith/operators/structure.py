@@ -195,7 +195,21 @@ def dirs(files: DataFrame, path: str = "path") -> DataFrame:
     return files.where(F.size(parts) > 1).select(F.explode(prefixes).alias("dir")).distinct()
 
 
+def _shortened(line: Column) -> Column:
+    return F.when(F.length(line) > SNIPPET, F.concat(F.left(line, F.lit(SNIPPET)), F.lit("…"))).otherwise(line)
+
+
 def snippet(text: Column) -> Column:
     """First non-blank line, trimmed, at most 100 characters and an ellipsis."""
-    line = F.trim(F.element_at(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), 1))
-    return F.when(F.length(line) > SNIPPET, F.concat(F.left(line, F.lit(SNIPPET)), F.lit("…"))).otherwise(line)
+    return _shortened(F.trim(F.element_at(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), 1)))
+
+
+def signature(text: Column) -> Column:
+    """First line of a symbol's text, trimmed, at most 100 characters and an ellipsis."""
+    return _shortened(F.trim(F.substring_index(text, "\n", 1)))
+
+
+def terse(path: Column, line: Column, qualname: Column, kind: Column, shown: Column | None = None) -> Column:
+    """``path:line qualname(kind)`` and, with a snippet, `` :: snippet``."""
+    head = F.format_string("%s:%d %s(%s)", path, line, qualname, kind)
+    return head if shown is None else F.when(shown.isNull(), head).otherwise(F.concat(head, F.lit(" :: "), shown))
