@@ -12,6 +12,7 @@ from stratalith.functions import intent as intents
 from stratalith.functions import lines, paths
 from stratalith.operators import bm25, changes, dense, framework, fusion, structure, symbols
 from stratalith.operators.index import Index
+from stratalith.operators.scale import materialise, rank_in_groups
 from stratalith.session import ship
 from stratalith.sources import repo as trees
 
@@ -26,7 +27,7 @@ class Engine:
     Tables derive lazily; with an ``Index`` search reads the stored one, after ``ensure``."""
 
     def __init__(self, spark: SparkSession, files: DataFrame, root: str | None = None, index: Index | None = None):
-        self.spark, self.root, self.index = ship(spark), root, index
+        self.spark, self.root, self.index, self._checked = ship(spark), root, index, False
         self.raw = files.dropDuplicates(["repo", "rel_path"]).withColumn("language", F.coalesce("language", lines.detect(F.col("rel_path"))))
 
     @classmethod
@@ -43,17 +44,19 @@ class Engine:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return symbols.symbols(self.raw).withColumnRenamed("rel_path", "path")
+        if self.index is not None:
+            self._ready()
+            return self.index.table("symbols").withColumnRenamed("rel_path", "path")
+        return materialise(symbols.symbols(self.raw).withColumnRenamed("rel_path", "path"))
 
     @cached_property
     def chunks(self) -> DataFrame:
         if self.index is not None:
-            self.index.ensure(self.raw)
+            self._ready()
             return self.index.table("chunks")
-        from stratalith.operators.scale import rank_in_groups
-
         order = [F.col("repo").asc_nulls_first(), F.col("file_path").asc(), F.col("start_line").asc(), F.col("end_line").asc(), F.col("content").asc()]
-        return rank_in_groups(symbols.chunk_files(self.raw).withColumn("_g", F.lit(0)), ["_g"], order, "chunk_id").drop("_g")
+        # written once: ranking, selection and display all read them
+        return materialise(rank_in_groups(symbols.chunk_files(self.raw).withColumn("_g", F.lit(0)), ["_g"], order, "chunk_id").drop("_g"))
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -61,17 +64,26 @@ class Engine:
         s = lines.line_stats(F.col("content"), F.col("language")).alias("s")
         return self.texts.select("path", "language", s).select("path", "language", "s.*")
 
-    def _lexical(self):
+    def _ready(self) -> None:
+        """The index brought up to date, once per engine."""
+        if not self._checked:
+            self.index.ensure(self.raw)
+            self._checked = True
+
+    @cached_property
+    def _lexical(self) -> tuple[DataFrame, DataFrame]:
         if self.index is not None:
-            _ = self.chunks
+            self._ready()
             return self.index.table("postings"), self.index.table("lengths")
-        return bm25.build_index(self.chunks)
+        postings = materialise(bm25.build_index(self.chunks)[0])
+        return postings, postings.groupBy("chunk_id").agg(F.sum("tf").cast("int").alias("dl"))
 
+    @cached_property
     def _vectors(self) -> DataFrame:
         if self.index is not None:
-            _ = self.chunks
+            self._ready()
             return self.index.table("vectors")
-        return dense.hash_vectors(self.chunks, "chunk_id", F.col("content"))
+        return materialise(dense.hash_vectors(self.chunks, "chunk_id", F.col("content")))
 
     def _one(self, wanted: str) -> str:
         found = [r["path"] for r in structure.resolve_path(self.raw.select(F.col("rel_path").alias("path")), wanted).orderBy("path").limit(51).collect()]
@@ -176,12 +188,12 @@ class Engine:
         selection = bm25.select_chunks(c, languages, prefixes, exclude)
         wide = fusion.WIDTH * k
         if mode == "bm25":
-            ranked = bm25.top_k(bm25.scores(*self._lexical(), query, selection), k)
+            ranked = bm25.top_k(bm25.scores(*self._lexical, query, selection), k)
         elif mode == "semantic":
-            ranked = bm25.top_k(dense.semantic_scores(self._vectors(), query, selection=selection), k)
+            ranked = bm25.top_k(dense.semantic_scores(self._vectors, query, selection=selection), k)
         else:
-            lexical = bm25.top_k(bm25.scores(*self._lexical(), query, selection), wide, 9)
-            semantic = bm25.top_k(dense.semantic_scores(self._vectors(), query, selection=selection), wide, 9)
+            lexical = bm25.top_k(bm25.scores(*self._lexical, query, selection), wide, 9)
+            semantic = bm25.top_k(dense.semantic_scores(self._vectors, query, selection=selection), wide, 9)
             ranked = fusion.hybrid(semantic, lexical, c, query, k, alpha, selection)
         return self._show(ranked, mode)
 
@@ -195,7 +207,7 @@ class Engine:
         source = dense.chunk_at(self.chunks, self._one(path), line).first()
         if source is None:
             raise ValueError(f"{path} has no chunks")
-        scored = dense.semantic_scores(self._vectors(), source["content"]).where(F.col("chunk_id") != source["chunk_id"])
+        scored = dense.semantic_scores(self._vectors, source["content"]).where(F.col("chunk_id") != source["chunk_id"])
         return self._show(bm25.top_k(scored, k), "semantic")
 
     def weight(self, query: str) -> float:

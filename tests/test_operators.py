@@ -340,23 +340,38 @@ def test_refs():
 
 
 def test_index_lifecycle(spark, tree, tmp_path):
+    from stratalith.operators.encoders import HashingEncoder
+
     files = trees.files(spark, tree)
     ix = Index(spark, f"file://{tmp_path}/ix")
     assert ix.status() is None and ix.ensure(files) == "built" and ix.ensure(files) == "reused"
-    before = {(r["file_path"], r["content"]) for r in ix.table("chunks").collect()}
+    before = {(r["file_path"], r["content"]): r["chunk_id"] for r in ix.table("chunks").collect()}
     changed = files.withColumn("mtime_ns", F.when(F.col("rel_path") == "src/main.rs", F.col("mtime_ns") + 1).otherwise(F.col("mtime_ns"))).withColumn(
         "content", F.when(F.col("rel_path") == "src/main.rs", F.lit("fn changed() {}\n").cast("binary")).otherwise(F.col("content"))
     ).where("rel_path <> 'lib/other.rs'")
     assert {(r["rel_path"], r["change"]) for r in ix.changed(changed).collect()} == {("src/main.rs", "changed"), ("lib/other.rs", "removed")}
-    assert ix.ensure(changed) == "updated"
+    first = ix.status()["tables"]
+    assert ix.ensure(changed) == "updated" and ix.ensure(changed) == "reused"
+    second = ix.status()["tables"]
+    # only the buckets of the two files are written anew, and the ids of other chunks stay
+    fresh = {b for t in second for b in second[t] if second[t][b] != first[t].get(b)}
+    assert 1 <= len(fresh) <= 2 and sum(second[t][b] == first[t][b] for t in second for b in second[t] if b not in fresh) > 0
+    after = {(r["file_path"], r["content"]): r["chunk_id"] for r in ix.table("chunks").collect()}
+    assert after != before and all(before[k] == after[k] for k in before.keys() & after.keys())
     cold = Index(spark, f"file://{tmp_path}/cold")
     cold.ensure(changed)
-    key = lambda i: sorted((r["chunk_id"], r["file_path"], r["content"]) for r in i.table("chunks").collect())
-    assert key(ix) == key(cold) and {(p, c) for _, p, c in key(ix)} != before
-    post = lambda i: sorted(tuple(r) for r in i.table("postings").collect())
-    assert post(ix) == post(cold)
+    for name in ("chunks", "symbols", "postings", "lengths", "vectors", "signatures"):
+        rows = lambda i: sorted(map(str, i.table(name).collect()))  # noqa: B023, E731
+        assert rows(ix) == rows(cold) and rows(ix), name
+    assert ix.vacuum() == 0 or ix.status()["tables"] == second
+    other = Index(spark, ix.root, encoder=HashingEncoder(64))
+    assert other.ensure(changed) == "vectors" and other.ensure(changed) == "reused"
+    assert other.status()["tables"]["postings"] == second["postings"] and other.table("vectors").agg(F.max("idx")).first()[0] < 64
+    assert ix.ensure(changed) == "vectors"
     e = Engine(spark, changed, index=ix)
-    assert e.search("changed", mode="bm25").first()["file_path"] == "src/main.rs"
+    assert e.search("changed", mode="bm25").first()["file_path"] == "src/main.rs" and e.search("login auth", k=2).first()["file_path"] == "src/auth.py"
+    assert [x["qualname"] for x in e.outline("auth.py")["symbols"].collect()] == ["Auth", "Auth.login", "Auth.out"]
+    assert ix.vacuum() >= 1 and ix.table("vectors").count() > 0
     assert ix.clean() and ix.status() is None
 
 
