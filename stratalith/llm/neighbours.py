@@ -145,17 +145,22 @@ def _search(classes: DataFrame, q: Quantiser, k: int, min_cosine: float, probes:
         z = shared.value
         codes = np.frombuffer(b"".join(mine["code"]), np.uint8).reshape(len(mine), -1)
         lengths, off = mine["len2"].to_numpy(np.float32), mine["off"].to_numpy(np.float32) + np.float32(SLACK)
+        reach = (off + np.float32(most)) ** 2 - 1
         ids, x = mine["mrep"].to_numpy(), _unit(_matrix(mine["mraw"]))
         found = []
         for i in range(0, len(theirs), 512):
             part = theirs.iloc[i : i + 512]
             names, y = part["qrep"].to_numpy(), _unit(_matrix(part["qraw"]))
-            d = np.sqrt(np.maximum(1 + z.distances(y.astype(np.float32), codes, lengths), 0))
-            upper = d + off
-            upper[ids[None, :] == names[:, None]] = 9.0  # not its own neighbour
-            bound = np.minimum(np.partition(upper, k - 1, axis=1)[:, k - 1], most) if len(ids) > k else np.full(len(names), most)
-            row, col = np.nonzero(d - off <= bound[:, None])
-            if len(row) > 0.05 * d.size:
+            d2 = z.distances(y.astype(np.float32), codes, lengths)  # less 1, the query's own square
+            near = d2 <= reach[None, :]
+            many = np.flatnonzero(near.sum(1) > 4 * k) if len(ids) > k else []
+            if len(many):  # these have members enough for the k-th smallest upper bound to tell some apart
+                d = np.sqrt(np.maximum(1 + d2[many], 0))
+                upper = d + off
+                upper[ids[None, :] == names[many, None]] = 9.0  # not its own neighbour
+                near[many] &= d - off <= np.partition(upper, k - 1, axis=1)[:, k - 1 : k]
+            row, col = np.nonzero(near)
+            if len(row) > 0.05 * d2.size:
                 cosine = (y @ x.T)[row, col]
             else:
                 cosine = np.einsum("pd,pd->p", y[row], x[col])

@@ -124,11 +124,14 @@ class Quantiser:
     def distances(self, q: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """|x|^2 - 2 q.x for all pairs from lookup tables and stored norms; no vector is rebuilt."""
         books, size, dim = self.words.shape
-        tables = q @ self.words.reshape(-1, dim).T
-        dots = np.zeros((len(q), len(codes)), np.float32)
-        for m in range(books):
-            dots += np.take(tables[:, m * size : (m + 1) * size], codes[:, m], axis=1)
-        return norms[None, :] - 2 * dots
+        tables = self.words.reshape(-1, dim) @ (-2 * q.T)
+        # whole rows of a table are taken, one per member: all queries' values lie side by side
+        d = np.take(tables, codes[:, 0], axis=0)
+        row = np.empty_like(d)
+        for m in range(1, books):
+            d += np.take(tables, codes[:, m] + np.int64(m * size), axis=0, out=row, mode="clip")
+        d += norms[:, None]
+        return d.T
 
 
 def fit(x: np.ndarray, cells: int, books: int = 8, words: int = 128, rounds: int = 1, seed: int = 7) -> Quantiser:
