@@ -11,17 +11,29 @@ from stratalith.operators.scale import spread
 
 
 def usable(table: DataFrame, dim: int) -> DataFrame:
-    """Rows with exactly ``dim`` finite values, once per id and vector."""
-    fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return table.where((F.coalesce(F.size("embedding"), F.lit(-1)) == dim) & fine).distinct()
+    """Rows with exactly ``dim`` finite values: the sum of squares of floats is finite just then."""
+    square = _sum(F.col("embedding")[i].cast("double") * F.col("embedding")[i].cast("double") for i in range(dim))
+    return table.where((F.coalesce(F.size("embedding"), F.lit(-1)) == dim) & square.isNotNull() & ~F.isnan(square) & (square < F.lit(float("inf"))))
+
+
+def _sum(terms) -> Column:
+    """A flat sum of terms that stay inside generated code; sums of eight keep the tree shallow."""
+    terms = list(terms)
+    while len(terms) > 1:
+        terms = [sum(terms[i + 1 : i + 8], terms[i]) for i in range(0, len(terms), 8)]
+    return terms[0]
 
 
 def scores(table: DataFrame, query: list[float], selection: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, score): cosine with ``query``; a narrow scan with the query as a literal. Rows of
-    no length keep score 0. The sign does not restrict."""
-    q = F.array(*[F.lit(float(x)) for x in query])
+    """(chunk_id, score): cosine with ``query``; a narrow scan with the query as literals, so only
+    ids and scores are told apart from their repeats. Rows of no length keep score 0. The sign does
+    not restrict."""
     rows = table if selection is None else table.join(selection.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return rows.select("chunk_id", vectors.dot(vectors.unit(F.col("embedding")), vectors.unit(q)).alias("score"))
+    v = [F.col("embedding")[i].cast("double") for i in range(len(query))]
+    size = sum(x * x for x in query) ** 0.5
+    dot = _sum(x * F.lit(float(q) / (size if size > 1e-8 else 1.0)) for x, q in zip(v, query))
+    norm = F.sqrt(_sum(x * x for x in v))
+    return rows.select("chunk_id", (dot / F.when(norm > 1e-8, norm).otherwise(1.0)).alias("score")).distinct()
 
 
 def hash_vectors(texts: DataFrame, key: str, text: Column, dim: int = 256) -> DataFrame:

@@ -11,7 +11,9 @@ from stratalith.sources.tables import table
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all repositories once each, their paths led by the repository."""
     t = table(spark, d, "chunks")
-    return t.select("chunk_id", F.concat_ws("/", "repo", "file_path").alias("file_path"), "language", "start_line", "end_line", "content", "doc_len").distinct()
+    # chunk_id is a key and repeats are exact, so a query that needs no content reads and moves none
+    rows = t.select("chunk_id", F.concat_ws("/", "repo", "file_path").alias("file_path"), "language", "start_line", "end_line", "content", "doc_len")
+    return rows.dropDuplicates(["chunk_id"])
 
 
 CHUNKS = "(SELECT DISTINCT chunk_id, concat_ws('/', repo, file_path) AS file_path, language, start_line, end_line, content, doc_len FROM chunks)"

@@ -19,9 +19,10 @@ FIND = "steel"
 OLD, NEW = "2025-07-20 00:00:00", "2025-08-20 00:00:00"
 
 
-def _paths(spark, d):
+def _paths(spark, d, *more):
+    """Paths, with ``more`` columns only where a query needs them."""
     t = table(spark, d, "files")
-    return t.select(F.concat_ws("/", "repo", "rel_path").alias("path"), "language", "content").distinct()
+    return t.select(F.concat_ws("/", "repo", "rel_path").alias("path"), *more).distinct()
 
 
 def _cache(spark, d):
@@ -60,7 +61,7 @@ def line_stats_plain(spark: SparkSession, d: str) -> DataFrame:
 
 def line_stats_code(spark: SparkSession, d: str) -> DataFrame:
     """Lines of every file by its language, by the scanner."""
-    rows = _paths(spark, d).withColumn("language", F.coalesce("language", lines.detect(F.col("path"))))
+    rows = _paths(spark, d, "language", "content").withColumn("language", F.coalesce("language", lines.detect(F.col("path"))))
     return spread(rows).select("path", "language", lines.line_stats("content", "language").alias("s")).select("path", "language", "s.*")
 
 
