@@ -235,9 +235,9 @@ def library_index(library: DataFrame) -> DataFrame:
     return materialise(indexed.where(F.col("rules").isNotNull()))
 
 
-def judged(files: DataFrame, library: DataFrame) -> DataFrame:
-    """``file_origins`` with ``similar``, the similarity to lib_id, and ``rules``, the hashes of the
-    file's own grammar rules."""
+def judged(files: DataFrame, library: DataFrame, *wanted: str) -> DataFrame:
+    """The ``wanted`` columns of ``file_origins``, of ``similar``, the similarity to lib_id, and of
+    ``rules``, the hashes of the file's own grammar rules, once per distinct file row."""
     columns = [F.col("file_id").cast("bigint").alias("file_id"), "repo", "rel_path", F.col("content").cast("binary").alias("content")]
     index = library_index(library)
     size = index.agg(F.sum("bytes")).first()[0] or 0
@@ -247,13 +247,13 @@ def judged(files: DataFrame, library: DataFrame) -> DataFrame:
     for n in range(passes):
         part = index.where(F.pmod(F.xxhash64("lib_id"), F.lit(passes)) == n).select("lib_id", "raw", "rules").orderBy("lib_id").collect()  # LIBRARY_MB of texts
         shared = spark.sparkContext.broadcast([(r["lib_id"], list(r["raw"]), list(r["rules"])) for r in part])
-        once = spread(files.select(*columns)).mapInArrow(_judge_batches(shared), schema).distinct()
+        once = spread(files.select(*columns)).mapInArrow(_judge_batches(shared), schema)
+        if passes == 1:
+            return once.select(*_KEYS, *wanted).distinct()
         out = once if out is None else out.unionByName(once)
-    if passes == 1:
-        return out
     # a file is judged in every pass; the pass with the most similar library file speaks for it
     order = Window.partitionBy(*_KEYS, "ratio", "cover", "rules").orderBy(F.col("similar").desc_nulls_last(), F.col("lib_id").asc_nulls_last())
-    return out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).drop("_n")
+    return out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).select(*_KEYS, *wanted)
 
 
 def file_origins(files: DataFrame, library: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def file_origins(files: DataFrame, library: DataFrame) -> DataFrame:
 
     One narrow pass over whole texts in Arrow batches for every LIBRARY_MB of library texts; the
     library's grammars are inferred once."""
-    return judged(files, library).select(*_KEYS, "reason", "ratio", "cover", "lib_id")
+    return judged(files, library, "reason", "ratio", "cover", "lib_id")
 
 
 def shared_rules(files: DataFrame, library: DataFrame, repos: int = REPOS) -> DataFrame:
@@ -275,7 +275,7 @@ def shared_rules(files: DataFrame, library: DataFrame, repos: int = REPOS) -> Da
 
     Rules are counted in a table of their own, combined before the shuffle; a rule in very many
     files is joined by broadcast (``lookup_join``), so no task holds it."""
-    rows = materialise(judged(files, library).select(*_KEYS, "reason", "rules"))
+    rows = materialise(judged(files, library, "reason", "rules"))
     each = rows.select(*_KEYS, F.explode("rules").alias("rule"))
     per_repo = each.groupBy("rule", "repo").agg(F.count(F.lit(1)).alias("n"))
     counts = per_repo.groupBy("rule").agg(F.count(F.lit(1)).alias("in_repos"), F.sum("n").alias("n"))

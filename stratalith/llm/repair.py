@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from hashlib import blake2b
 from typing import NamedTuple
 
@@ -22,27 +23,20 @@ class Grammar(NamedTuple):
 
 def infer(tokens: list[int], base: int) -> Grammar:
     """Re-Pair over terminals 0..base-1. Ties go to the pair met first, so equal texts have equal
-    grammars."""
+    grammars. A replacement makes pairs with its own new symbol only, so these are gathered apart
+    and kept where they occur twice."""
     seq = list(tokens)
     n = len(seq)
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    where: dict[tuple[int, int], set[int]] = {}
-    for i in range(n - 1):
-        pair = (seq[i], seq[i + 1])
-        spots = where.setdefault(pair, set())
-        if not (pair[0] == pair[1] and i - 1 in spots and seq[i - 1] == seq[i]):
+    where: dict[tuple[int, int], set[int]] = {p: set() for p, c in Counter(zip(seq, seq[1:])).items() if c > 1}
+    for i, pair in enumerate(zip(seq, seq[1:])):
+        spots = where.get(pair)
+        if spots is not None and not (pair[0] == pair[1] and i - 1 in spots and seq[i - 1] == pair[0]):
             spots.add(i)  # of aaa only the first aa counts
-    order = {p: k for k, p in enumerate(where)}
-    heap = [(-len(s), order[p], p) for p, s in where.items() if len(s) > 1]
+    heap = [(-len(s), k, p) for k, (p, s) in enumerate(where.items()) if len(s) > 1]
+    ticks = len(where)
     heapq.heapify(heap)
     rules, uses = [], []
-
-    def forget(i: int) -> None:
-        if i >= 0 and right[i] < n:
-            spots = where.get((seq[i], seq[right[i]]))
-            if spots is not None:
-                spots.discard(i)
-
     while heap:
         count, k, pair = heapq.heappop(heap)
         spots = where.get(pair)
@@ -52,37 +46,51 @@ def infer(tokens: list[int], base: int) -> Grammar:
             if len(spots) > 1:
                 heapq.heappush(heap, (-len(spots), k, pair))
             continue
-        if len(spots) < 2:
-            continue
         symbol = base + len(rules)
-        done, touched = 0, {}
+        done = 0
+        fresh: dict[tuple[int, int], set[int]] = {}
+        first, second = pair
         for i in sorted(spots):
             j = right[i]
-            if seq[i] != pair[0] or j >= n or seq[j] != pair[1]:
+            if seq[i] != first or j >= n or seq[j] != second:
                 continue
             before, after = left[i], right[j]
-            forget(before)
+            if before >= 0:
+                old = (seq[before], first)
+                gone = where.get(old) or fresh.get(old)
+                if gone:
+                    gone.discard(before)
             if after < n:
-                forget(j)
+                old = (second, seq[after])
+                gone = where.get(old) or fresh.get(old)
+                if gone:
+                    gone.discard(j)
+                left[after] = i
             seq[i], seq[j] = symbol, -1
             right[i] = after
-            if after < n:
-                left[after] = i
             done += 1
-            for a in (before, i):
-                if a >= 0 and right[a] < n:
-                    new = (seq[a], seq[right[a]])
-                    spot = where.setdefault(new, set())
-                    if not (new[0] == new[1] and left[a] in spot):
-                        spot.add(a)
-                        touched[new] = None
+            if before >= 0:
+                new = (seq[before], symbol)
+                spot = fresh.get(new)
+                if spot is None:
+                    fresh[new] = {before}
+                elif not (new[0] == symbol and left[before] in spot):
+                    spot.add(before)
+            if after < n:
+                new = (symbol, seq[after])
+                spot = fresh.get(new)
+                if spot is None:
+                    fresh[new] = {i}
+                elif not (new[1] == symbol and before in spot):
+                    spot.add(i)
         del where[pair]
         rules.append(pair)
         uses.append(done)
-        for new in touched:
-            if new in where and len(where[new]) > 1:
-                k = order.setdefault(new, len(order))
-                heapq.heappush(heap, (-len(where[new]), k, new))
+        for new, spot in fresh.items():
+            if len(spot) > 1:
+                where[new] = spot
+                heapq.heappush(heap, (-len(spot), ticks, new))
+                ticks += 1
     start, i = [], 0
     while i < n:
         start.append(seq[i])
@@ -159,14 +167,31 @@ def _total_uses(g: Grammar) -> list[int]:
     return total
 
 
+_PRIME, _STEP = (1 << 61) - 1, 0x1F3D5B79A2C4E6F1 % ((1 << 61) - 1)
+_hashes: dict[str, int] = {}
+
+
+def _hash(token: str) -> int:
+    h = _hashes.get(token)
+    if h is None:
+        if len(_hashes) > 500_000:
+            _hashes.clear()
+        h = _hashes[token] = int.from_bytes(blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") % _PRIME
+    return h
+
+
 def fingerprints(raw: list[str], least: int = 3) -> list[int]:
-    """64-bit hashes of the texts of all rules of ``least`` or more tokens."""
+    """61-bit hashes of the texts of all rules of ``least`` or more tokens. The hash is that of the
+    tokens in order, whatever pairs a grammar cuts them into, and follows from those of the pair."""
     ids, base = number(raw)
-    names = list(dict.fromkeys(raw))
     g = infer(ids, base)
+    value = [_hash(t) for t in dict.fromkeys(raw)]
+    step, size = [_STEP] * base, [1] * base
     out = []
-    for i, size in enumerate(lengths(g)):
-        if size >= least:
-            words = "\x00".join(names[t] for t in expand(g, g.base + i))
-            out.append(int.from_bytes(blake2b(words.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+    for a, b in g.rules:
+        value.append((value[a] * step[b] + value[b]) % _PRIME)
+        step.append(step[a] * step[b] % _PRIME)
+        size.append(size[a] + size[b])
+        if size[-1] >= least:
+            out.append(value[-1])
     return out
