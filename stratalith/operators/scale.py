@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     tests) a local temporary folder is used."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = _local_root()
     return os.path.join(root, uuid.uuid4().hex)
@@ -47,11 +47,39 @@ def _local_root() -> str:
     return "file://" + path
 
 
+_written: list[tuple[str, str]] = []  # (application, folder) of what this process materialised
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at replicated files."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append((df.sparkSession.sparkContext.applicationId, path))
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stratalith_folder = path
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialised DataFrame that nothing reads any more."""
+    folder = getattr(df, "_stratalith_folder", None)
+    if folder:
+        _delete(df.sparkSession, folder)
+
+
+def purge(spark: SparkSession) -> int:
+    """Delete all that this application materialised; for the time when its results are written or
+    collected. Returns the number of folders."""
+    mine = [x for x in _written if x[0] == spark.sparkContext.applicationId]
+    for entry in mine:
+        _delete(spark, entry[1])
+        _written.remove(entry)
+    return len(mine)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -103,6 +103,18 @@ def test_rank_and_lookup_on_heavy_keys(spark):
 SIGS = "sig_id long, repo string, rel_path string, len long, mtime_ns long, walked_at timestamp_ntz, loaded_at timestamp_ntz"
 
 
+def test_materialised_files_can_be_released_and_purged(spark):
+    from stratalith.operators.scale import materialise, purge, release
+
+    a, b = materialise(spark.range(5)), materialise(spark.range(7))
+    folder = lambda df: df._stratalith_folder.removeprefix("file://")
+    assert a.count() == 5 and os.path.exists(folder(a))
+    release(a)
+    release(spark.range(1))
+    assert not os.path.exists(folder(a)) and b.count() == 7
+    assert purge(spark) >= 2 and not os.path.exists(folder(b)) and purge(spark) == 0
+
+
 def _log(spark):
     import datetime as dt
 
