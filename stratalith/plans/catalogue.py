@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratalith.plans import changesets, encoders, incremental, retrieval, structure
+from stratalith.plans import changesets, encoders, framework, incremental, retrieval, structure
 
-_MODULES = (retrieval, structure, incremental, encoders, changesets)
+_MODULES = (retrieval, structure, incremental, encoders, changesets, framework)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
