@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalith.operators.scale import heavy_keys, key_counts, materialise, rank_in_groups, shuffle_partitions, split_heavy
+from stratalith.operators.scale import heavy_keys, key_counts, materialise, rank_in_groups, release, shuffle_partitions, split_heavy
 
 BLOCK = 4096
 BUCKET_ROWS = 200_000
@@ -122,7 +122,7 @@ def _heavy_walk(heavy: DataFrame, cols: list[str], names: list[str], damping: fl
     """The same iteration on a cluster: suffix sums within rank blocks plus sums of whole blocks."""
     state = heavy.withColumn("x", 1.0 / F.col("_n"))
     tops = heavy.groupBy("g").agg(*[F.max(c).alias(f"top_{c}") for c in cols])
-    state = materialise(state.join(F.broadcast(tops), "g"))
+    written = state = materialise(state.join(F.broadcast(tops), "g"))
     for _ in range(steps):
         nxt = state
         total = F.lit(0.0)
@@ -144,8 +144,10 @@ def _heavy_walk(heavy: DataFrame, cols: list[str], names: list[str], damping: fl
             total = total + F.col(f"got{k}")
         nxt = nxt.withColumn("_x", (1 - damping) / F.col("_n") + damping * total).drop(*[f"got{k}" for k in range(len(cols))])
         nxt = materialise(nxt.withColumn("_moved", F.abs(F.col("_x") - F.col("x"))).drop("x").withColumnRenamed("_x", "x"))
-        state = nxt.drop("_moved")
-        if nxt.agg(F.max("_moved")).first()[0] < SETTLED:
+        settled = nxt.agg(F.max("_moved")).first()[0] < SETTLED
+        release(written)  # the step before
+        written, state = nxt, nxt.drop("_moved")
+        if settled:
             break
     mass = state.groupBy("g").agg(F.sum("x").alias("_mass"))
     return state.join(F.broadcast(mass), "g").withColumn("walk", F.col("x") / F.col("_mass"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalith.operators.scale import heavy_keys, key_counts, small_join, split_heavy
+from stratalith.operators.scale import heavy_keys, key_counts, materialise, small_join, split_heavy
 
 RANGES = 64
 SUBSALTS = 4
@@ -46,7 +46,9 @@ def top_n(
     counts.unpersist()
     out = first(light, keys)
     if heavy is not None:
-        out = out.unionByName(first(_range_winners(heavy.drop("_n"), keys, score, n, first, order), keys))
+        # written once: quantiles, counts and winners read these rows, and not the whole input
+        heavy = materialise(heavy.drop("_n"))
+        out = out.unionByName(first(_range_winners(heavy, keys, score, n, first, order), keys))
     return out.dropDuplicates([*keys, "rank"])
 
 
