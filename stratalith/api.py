@@ -222,7 +222,7 @@ class Engine:
         staged = trees.change_set(self.spark, self.root, "staged", against)["name_status"]
         unstaged = trees.change_set(self.spark, self.root, "unstaged")["name_status"]
         keep = paths.exclude(F.col("path"), list(exclude))
-        fresh = got["untracked"].join(self.texts.select("path", "text"), "path").where(keep)
+        fresh = got["untracked"].join(self.texts.select("path", "text"), "path").where(keep & F.lit(scope != "staged"))
         new_hunks = changes.untracked_hunks(fresh)
         known = changes.overview(got["name_status"], got["numstat"], staged, unstaged).where(keep)
         untracked = new_hunks.select(F.lit("?").alias("status"), "path", F.lit(None).cast("string").alias("old_path"), "added", "removed", F.lit(False).alias("binary"), F.lit(False).alias("staged"), F.lit(False).alias("unstaged"))
@@ -235,6 +235,64 @@ class Engine:
             "folders": changes.totals(overview.withColumn("folder", changes.folder(F.col("path"))), "folder"),
         }
 
+    def diff_names(self, scope: str = "all", against: str = "HEAD", exclude: Sequence[str] = ()) -> DataFrame:
+        """Only the paths of the changes."""
+        return self.diff(scope, against, exclude)["overview"].select("path").orderBy("path")
+
+    def diff_summary(self, scope: str = "all", against: str = "HEAD", exclude: Sequence[str] = ()) -> dict:
+        """Files and lines in all, per state and per folder, and the folder all changes lie in."""
+        d = self.diff(scope, against, exclude)
+        return {"total": changes.totals(d["overview"]).first().asDict(), "states": d["states"], "folders": d["folders"], "common": structure.common_prefix(d["overview"]).first()[0]}
+
+    def diff_file(
+        self, path: str, scope: str = "all", against: str = "HEAD", symbol: str | None = None, body: str = "full",
+    ) -> dict:
+        """One changed file (or all below a folder): its entry and its hunks with their symbols.
+
+        Symbols of a deleted file come from ``against``, of others from the working tree. With
+        ``symbol`` only the hunks that overlap it are kept. ``note`` says where bodies were dropped
+        because a file's exceed MAX_BYTES."""
+        d = self.diff(scope, against)
+        paths_ = [r["path"] for r in changes.resolve_change(d["overview"], paths.valid_relative(path)).orderBy("path").limit(51).collect()]
+        if not paths_:
+            raise ValueError(f"no change of {path!r}")
+        below = all(p.startswith(path.strip("/") + "/") for p in paths_)
+        if len(paths_) > 1 and not below:
+            raise ValueError(f"{path!r} is ambiguous: " + ", ".join(paths_[:10]) + (f" and {len(paths_) - 10} more" if len(paths_) > 10 else ""))
+        base = path.strip("/") + "/"
+        mine = F.startswith("path", F.lit(base)) if below else F.col("path") == paths_[0]
+        entries = d["overview"].where(mine)
+        gone = [r["path"] for r in entries.where("status = 'D'").collect()]  # of one file, or below one folder of a working tree
+        syms = self.symbols.where(mine)
+        if gone:
+            old = trees.blobs(self.spark, self.root, against, gone)
+            syms = syms.unionByName(symbols.symbols(old).withColumnRenamed("rel_path", "path"))
+        fresh = d["untracked"].where(mine)
+        hunks = d["hunks"].where(mine)
+        hunks = hunks.unionByName(fresh.select(*fresh.columns, F.lit(None).cast("string").alias("old_path")))
+        within = None
+        if symbol is not None:
+            within = symbols.resolve_qualname(syms, symbol)
+            if within.isEmpty():
+                near = [r["name"] for r in symbols.suggest(syms, symbol).orderBy("rank").collect()]
+                raise ValueError(f"no symbol {symbol!r} in {path}" + (f"; did you mean {', '.join(near)}" if near else ""))
+        shown = changes.drilldown(hunks, syms, body, within, MAX_BYTES).orderBy("path", "hunk")
+        large = [r["path"] for r in shown.where(F.col("body_bytes") > MAX_BYTES).select("path").distinct().orderBy("path").limit(10).collect()]
+        return {"entries": entries, "hunks": shown, "note": f"bodies above {MAX_BYTES} bytes are left out: {', '.join(large)}" if large else None}
+
+    # ---- caches -------------------------------------------------------
+    def index_status(self) -> DataFrame:
+        """(name, folders, rows) of the stored index; no rows without one."""
+        meta = self.index.status() if self.index else None
+        rows = [(n, len(f), self.index.table(n).count()) for n, f in meta["tables"].items()] if meta else []
+        return self.spark.createDataFrame(rows, "name string, folders int, rows bigint")
+
+    def index_build(self) -> str:
+        return self.index.ensure(self.raw)
+
+    def index_clean(self) -> bool:
+        return self.index.clean()
+
     # ---- framework ----------------------------------------------------
     def _paths(self) -> DataFrame:
         return self.raw.select(F.col("rel_path").alias("path"))

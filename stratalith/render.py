@@ -28,10 +28,47 @@ def matches(df: DataFrame, summary: DataFrame) -> str:
     return "\n".join(out)
 
 
+def drilldown(found: dict) -> str:
+    """``@@ a-b symbol(kind) +x -y`` and the body of every hunk, file by file."""
+    out, last = [], None
+    for r in found["hunks"].toLocalIterator():
+        if r["path"] != last:
+            last = r["path"]
+            out.append(last)
+        named = f" {r['symbol']}({r['kind']})" if r["symbol"] else ""
+        out.append(f"@@ {r['new_lo']}-{r['new_hi']}{named} +{r['added']} -{r['removed']}")
+        if r["body"]:
+            out.append(r["body"])
+    return "\n".join(out + ([found["note"]] if found["note"] else []))
+
+
+def outline(found: dict) -> str:
+    """Symbols indented by their depth."""
+    out = [found["path"]]
+    for r in found["symbols"].toLocalIterator():
+        out.append(f"{'  ' * (r['qualname'].count('.') + 1)}{r['start_line']}-{r['end_line']} {r['kind']} {r['qualname'].rsplit('.', 1)[-1]}")
+    return "\n".join(out)
+
+
+def languages(df: DataFrame) -> str:
+    """Files and code lines per language, with their sum."""
+    rows = df.collect()  # one row per language
+    out = [f"{r['language']}: {r['files']} files, {r['code']} code, {r['comment']} comment, {r['blank']} blank" for r in rows]
+    return "\n".join(out + [f"total: {sum(r['files'] for r in rows)} files, {sum(r['code'] for r in rows)} code"])
+
+
+def routes(df: DataFrame) -> str:
+    out = []
+    for r in df.toLocalIterator():
+        verbs = f" [{', '.join(r['methods'])}]" if r["methods"] else ""
+        out.append(f"{r['pattern']} {r['kind']}{verbs} {r['file']}" + (" (advanced)" if r["advanced"] else ""))
+    return "\n".join(out)
+
+
 def overview(df: DataFrame) -> str:
     """``M path +a -r`` per change; binary files have no counts."""
     out = []
-    for r in df.collect():
+    for r in df.toLocalIterator():
         name = f"{r['old_path']} -> {r['path']}" if r["old_path"] else r["path"]
         count = "binary" if r["binary"] else f"+{r['added'] or 0} -{r['removed'] or 0}"
         out.append(f"{r['status']} {name} {count}")

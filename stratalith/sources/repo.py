@@ -107,9 +107,28 @@ def valid_ref(ref: str) -> str:
     return ref
 
 
+def blobs(spark: SparkSession, root: str, ref: str, names: Sequence[str]) -> DataFrame:
+    """(repo, rel_path, language, length, mtime_ns, content) of files as they are in ``ref``, read by
+    one ``cat-file`` for all names; names that are not there are left out."""
+    ask = "".join(f"{valid_ref(ref)}:{n}\n" for n in names if "\n" not in n).encode()
+    done = subprocess.run(["git", "-C", root, "cat-file", "--batch"], input=ask, capture_output=True, timeout=120)
+    out, at, rows = done.stdout, 0, []
+    for n in (n for n in names if "\n" not in n):
+        end = out.find(b"\n", at)
+        head = out[at:end].decode("utf-8", "replace").rsplit(" ", 2)
+        at = end + 1
+        if len(head) == 3 and head[1] == "blob":
+            size = int(head[2])
+            rows.append(("", n, size, 0, bytearray(out[at : at + size])))
+            at += size + 1
+    df = spark.createDataFrame(rows, "repo string, rel_path string, length bigint, mtime_ns bigint, content binary")
+    return df.select("repo", "rel_path", lines.detect(F.col("rel_path")).alias("language"), "length", "mtime_ns", "content")
+
+
 def diff_args(scope: str, against: str = "HEAD") -> list[str]:
-    """What to compare for ``all``, ``staged`` or ``unstaged`` changes."""
-    known = {"all": [valid_ref(against)], "staged": ["--cached", valid_ref(against)], "unstaged": []}
+    """What to compare for ``all``, ``staged`` or ``unstaged`` changes; untracked files are compared
+    with nothing, so ``untracked`` compares HEAD with itself."""
+    known = {"all": [valid_ref(against)], "staged": ["--cached", valid_ref(against)], "unstaged": [], "untracked": ["HEAD", "HEAD"]}
     if scope not in known:
         raise ValueError(f"unknown scope {scope!r}")
     return known[scope]

@@ -339,12 +339,49 @@ def test_engine_on_a_tree(spark, tree):
     o = {r["path"]: r["status"] for r in d["overview"].collect()}
     assert o["src/auth.py"] == "M" and o["lib/other.rs"] == "R" and o["keep.tmp"] == "?"
     assert {(r["path"], r["symbol"]) for r in d["pairs"].where("place = 1").collect()} == {("src/auth.py", "Auth.out")}
+    one = e.diff_file("auth.py", body="changed")
+    h = one["hunks"].collect()
+    assert [(x["symbol"], x["kind"], x["spans"], x["body"]) for x in h] == [("Auth.out", "method", ["Auth", "Auth.out"], "-        return 2\n+        return 3\n+        # more")] and one["note"] is None
+    assert "@@ 6-7 Auth.out(method) +2 -1" in render.drilldown(one) and e.diff_file("src/auth.py", symbol="login")["hunks"].count() == 0
+    assert e.diff_file("keep.tmp", scope="untracked")["hunks"].first()["added"] == 1 and [x["path"] for x in e.diff_names("staged").collect()] == ["lib/other.rs"]
+    with pytest.raises(ValueError, match="no change"):
+        e.diff_file("main.rs")
+    with pytest.raises(ValueError, match="Auth.login"):
+        e.diff_file("auth.py", symbol="logni")
+    s = e.diff_summary()
+    assert s["total"]["added"] == 3 and s["common"] == "" and "rust: 2 files" in render.languages(e.langs())
+    assert "    5-6 method out" in render.outline(e.outline("auth.py"))
     assert "M src/auth.py +2 -1" in render.overview(d["overview"]) and "folder" in render.table(d["folders"])
     for bad in ({"query": " "}, {"query": "x", "mode": "y"}, {"query": "x", "k": 0}):
         with pytest.raises(ValueError):
             e.search(**bad)
 
 
+def test_deleted_file_has_the_symbols_of_its_base(spark, tmp_path):
+    root = tmp_path / "t"
+    root.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", root, *a], check=True, capture_output=True)
+    (root / "gone.py").write_text("def first():\n    return 1\n\n\ndef second():\n    return 2\n")
+    (root / "big.py").write_text("x = 1\n")
+    run("init", "-q")
+    run("add", ".")
+    run("-c", "user.email=a@b", "-c", "user.name=a", "commit", "-qm", "x")
+    (root / "gone.py").unlink()
+    (root / "big.py").write_text("".join(f"x{i} = 1\n" for i in range(9)))
+    e = Engine.open(spark, str(root))
+    got = e.diff_file("gone.py")
+    assert [x["status"] for x in got["entries"].collect()] == ["D"] and [(x["symbol"], x["removed"]) for x in got["hunks"].collect()] == [("first", 6)]
+    assert {r["rel_path"]: r["language"] for r in trees.blobs(spark, str(root), "HEAD", ["gone.py", "nowhere.py"]).collect()} == {"gone.py": "python"}
+    from stratalith import api
+
+    kept, api.MAX_BYTES = api.MAX_BYTES, 10
+    try:
+        cut = e.diff_file("big.py")
+        assert cut["hunks"].first()["body"] is None and "big.py" in cut["note"]
+    finally:
+        api.MAX_BYTES = kept
+
+
 def test_refs():
     for bad in ("", "-x", "a..b", "a b"):
         with pytest.raises(ValueError):
