@@ -23,9 +23,13 @@ def unit(v: Column) -> Column:
 
 def bucket(term: Column, dim: int) -> Column:
     """Place of a term in the hashed vector: its md5's first eight digits modulo ``dim``."""
-    return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+    digits = next((m for m in range(1, 8) if 16**m % dim == 0), 8)  # the last ones decide where dim divides a power of 16
+    text = F.md5(term)
+    place = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(text, i, 1)).cast("bigint") - 1
+    value = sum((place(i) * F.lit(16 ** (8 - i)) for i in range(9 - digits, 8)), place(8))
+    return (value % dim).cast("int")
 
 
 def sign(term: Column) -> Column:
     """-1 where the ninth digit of the md5 is eight or more."""
-    return F.when(F.conv(F.substring(F.md5(term), 9, 1), 16, 10).cast("int") >= 8, -1.0).otherwise(1.0)
+    return F.when(F.substring(F.md5(term), 9, 1) >= "8", -1.0).otherwise(1.0)

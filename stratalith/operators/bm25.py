@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stratalith.functions import paths
 from stratalith.functions.text import tokenize, tokenize_str
-from stratalith.operators.scale import lookup_join, spread
+from stratalith.operators.scale import lookup_join, materialise
 
 K1, B = 1.5, 0.75
 
@@ -25,11 +25,12 @@ def indexed_terms(chunks: DataFrame) -> DataFrame:
     dirs = F.flatten(F.transform(paths.last_dirs(F.col("file_path")), tokenize))
     empty = F.array().cast("array<string>")
     parts = [F.coalesce(p, empty) for p in (tokenize(F.col("content")), stem, stem, dirs)]
-    return spread(chunks.select("chunk_id", "file_path", "content")).select("chunk_id", F.explode(F.concat(*parts)).alias("term"))
+    # texts move once, whole, to their chunk; the counts per (term, chunk) then stay in place
+    return chunks.select("chunk_id", "file_path", "content").repartition("chunk_id").select("chunk_id", F.explode(F.concat(*parts)).alias("term"))
 
 
 def build_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths); the counts combine before the shuffle."""
+    """(postings, lengths)."""
     postings = indexed_terms(chunks).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     return postings, postings.groupBy("chunk_id").agg(F.sum("tf").cast("int").alias("dl"))
 
@@ -77,23 +78,28 @@ def top_k(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return best.select(place.alias("rank"), "chunk_id", "score")
 
 
+FEW_TERMS = 500_000  # (query, term) rows, of some 40 bytes, up to which these go to all executors
+
+
 def batch(postings: DataFrame, lengths: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_text, rank, chunk_id, score) for every distinct text of ``queries`` at once.
 
-    Query terms meet postings in one equi-join on the term; a term in nearly every chunk and in
-    many queries is joined by broadcast of the query side's share (``lookup_join``), and the
-    window keeps k rows per query before the shuffle."""
+    A posting's weight is found once, before it meets the queries; queries are numbers until the
+    end. Few (query, term) rows (counted) are sent to all executors; many are joined on the term by a
+    shuffle whose hot terms Spark splits. The window keeps k rows per query before the shuffle."""
     stats = corpus_stats(lengths).first()
-    texts = queries.select("query_text").where(F.col("query_text").isNotNull()).distinct()
-    wanted = texts.select("query_text", F.explode(F.array_distinct(tokenize(F.col("query_text")))).alias("term"))
-    by_term = wanted.groupBy("term").agg(F.collect_set("query_text").alias("texts"))
-    used = postings.join(F.broadcast(by_term.select("term")), "term", "left_semi") if by_term.count() <= 100_000 else postings.join(by_term.select("term"), "term", "left_semi")
+    texts = materialise(queries.select("query_text").where(F.col("query_text").isNotNull()).distinct().withColumn("q", F.monotonically_increasing_id()))
+    wanted = materialise(texts.select("q", F.explode(F.array_distinct(tokenize(F.col("query_text")))).alias("term")))
+    few = wanted.count() <= FEW_TERMS
+    known = wanted.select("term").distinct()
+    used = postings.join(F.broadcast(known) if few else known, "term", "left_semi")
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hit = lookup_join(used, df.join(by_term, "term"), ["term"], "df").join(lengths, "chunk_id")
-    per = hit.select("chunk_id", F.explode("texts").alias("query_text"), _weight(stats["n"], stats["avgdl"]).alias("w"))
-    scored = per.groupBy("query_text", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score")).where(F.col("score") > 0)
-    place = F.row_number().over(Window.partitionBy("query_text").orderBy(F.col("score").desc(), "chunk_id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_text", "rank", "chunk_id", "score")
+    weighed = lookup_join(used, df, ["term"], "df").join(lengths, "chunk_id").select("term", "chunk_id", _weight(stats["n"], stats["avgdl"]).alias("w"))
+    per = weighed.join(F.broadcast(wanted) if few else wanted, "term")
+    scored = per.groupBy("q", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score")).where(F.col("score") > 0)
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "chunk_id"))
+    best = scored.withColumn("rank", place).where(F.col("rank") <= k)
+    return best.join(texts, "q").select("query_text", "rank", "chunk_id", "score")
 
 
 def select_chunks(

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalith.functions import vectors
 from stratalith.functions.text import tokenize
-from stratalith.operators.scale import spread
 
 
 def usable(table: DataFrame, dim: int) -> DataFrame:
@@ -39,11 +38,14 @@ def scores(table: DataFrame, query: list[float], selection: DataFrame | None = N
 def hash_vectors(texts: DataFrame, key: str, text: Column, dim: int = 256) -> DataFrame:
     """(key, idx, value): the sparse unit vector of every text's tokens, repeats included.
 
-    One aggregation per (key, place) and one per key, both combined before the shuffle."""
-    terms = spread(texts.select(key, text.alias("_text"))).select(key, F.explode(tokenize(F.col("_text"))).alias("term"))
-    cells = terms.groupBy(key, vectors.bucket(F.col("term"), dim).alias("idx")).agg(F.sum(vectors.sign(F.col("term"))).alias("v"))
-    norms = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return cells.join(norms, key).select(key, "idx", F.when(F.col("norm") > 1e-8, F.col("v") / F.col("norm")).otherwise(F.col("v")).alias("value")).where(F.col("value") != 0)
+    One aggregation per (key, place) and one per key."""
+    # texts move once, whole, to their key; every aggregation and the join below then stay in place
+    terms = texts.select(key, text.alias("_text")).repartition(key).select(key, F.explode(tokenize(F.col("_text"))).alias("term"))
+    # equal tokens are counted first, so each is hashed once per text
+    counts = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    cells = counts.groupBy(key, vectors.bucket(F.col("term"), dim).alias("idx")).agg(F.sum(F.col("n") * vectors.sign(F.col("term"))).alias("v"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))  # at most ``dim`` rows a key
+    return cells.withColumn("norm", norm).select(key, "idx", F.when(F.col("norm") > 1e-8, F.col("v") / F.col("norm")).otherwise(F.col("v")).alias("value")).where(F.col("value") != 0)
 
 
 def hash_query(query: str, dim: int = 256) -> dict[int, float]:
