@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.operators import dense
@@ -67,6 +67,18 @@ class StaticEncoder:
         return pooled(wordpiece(texts, key, short, self.vocabulary), key, self.vectors, self.weights)
 
 
+def load_static(spark: SparkSession, folder: str) -> StaticEncoder:
+    """An encoder from ``folder``: vocab.txt (a token a line, its id the line number from 0), vectors
+    (Parquet: id, vector) and, if it is there, weights (Parquet: id, weight)."""
+    lines = spark.read.text(f"{folder}/vocab.txt", wholetext=True).first()["value"].split("\n")
+    vocabulary = spark.createDataFrame([(t, i) for i, t in enumerate(lines) if t], "token string, id int")
+    vectors = spark.read.parquet(f"{folder}/vectors")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/weights")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    dim = len(vectors.select("vector").first()["vector"])
+    return StaticEncoder(vocabulary, vectors, dim, spark.read.parquet(f"{folder}/weights") if there else None)
+
+
 def pieces(word: str, known: dict[str, int], unknown: int | None) -> list[int]:
     """Ids of the longest known piece at each place; a word with a gap, or of more than WORD_CHARS
     characters, is unknown as a whole."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalith.functions import paths
+from stratalith.operators.scale import rank_in_groups
 
 # Names that stand for sets of kinds.
 KIND_SETS = {
@@ -128,10 +129,10 @@ def outline(symbols: DataFrame, kinds: Sequence[str] | None = None, depth: int |
 
 
 def round_robin(files: DataFrame, path: str = "path") -> DataFrame:
-    """(path, scan): one file of every top folder in turn, folders and files in order."""
-    bucket = paths.top_dir(F.col(path))
-    n = F.row_number().over(Window.partitionBy(bucket).orderBy(path))
-    return files.select(F.col(path).alias("path"), n.alias("turn"), bucket.alias("bucket"))
+    """(path, turn, bucket): one file of every top folder in turn, folders and files in order. Paths
+    are distinct; a folder that holds most of all files is numbered by many tasks."""
+    rows = files.select(F.col(path).alias("path"), paths.top_dir(F.col(path)).alias("bucket"))
+    return rank_in_groups(rows, ["bucket"], [F.col("path").asc_nulls_first()], "turn").select("path", F.col("turn").cast("int").alias("turn"), "bucket")
 
 
 def find(symbols: DataFrame, files: DataFrame, query: str, kinds: Sequence[str] | None = None, limit: int = 50, per_file: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -65,17 +65,19 @@ def walk(root: str, hidden: bool = False, ignored: bool = False) -> Iterator[tup
     yield from visit(root, "", first)
 
 
-def catalogue(spark: SparkSession, root: str, starts: Sequence[str] = ()) -> DataFrame:
-    """Metadata of the visible files, once each; if nothing is visible, of all files."""
+def catalogue(spark: SparkSession, root: str, starts: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+    """Metadata of the visible files, once each; if nothing is visible, of all files. ``starts`` are
+    paths the files must lie below, ``exclude`` globs or folder names they must not match."""
     rows = list(walk(root)) or list(walk(root, hidden=True, ignored=True))
     df = spark.createDataFrame(rows, _FILES)
+    df = df.where(paths.exclude(F.col("rel_path"), list(exclude))) if exclude else df
     return df.where(paths.under(F.col("rel_path"), [paths.valid_relative(s) for s in starts])) if starts else df
 
 
-def files(spark: SparkSession, root: str, starts: Sequence[str] = (), repo: str = "") -> DataFrame:
+def files(spark: SparkSession, root: str, starts: Sequence[str] = (), repo: str = "", exclude: Sequence[str] = ()) -> DataFrame:
     """(repo, rel_path, language, length, mtime_ns, content) of visible files up to 1 MiB; contents
     are read by the executors' binary file source, only for the listed paths."""
-    listed = catalogue(spark, root, starts).where(F.col("length") <= MAX_BYTES)
+    listed = catalogue(spark, root, starts, exclude).where(F.col("length") <= MAX_BYTES)
     full = [r["full_path"] for r in listed.select("full_path").collect()]
     if not full:
         return spark.createDataFrame([], "repo string, rel_path string, language string, length bigint, mtime_ns bigint, content binary")
