@@ -47,8 +47,10 @@ def count_tokens(text: str, enc) -> int:
     return total
 
 
-def with_sizes(documents: DataFrame, text: str = "text", size: str = "tokens", path: str = TOKENIZER) -> DataFrame:
-    """``documents`` without ``text`` but with its size; null texts have size 0."""
+def with_sizes(documents: DataFrame, text: str = "text", size: str = "tokens", path: str | None = None) -> DataFrame:
+    """``documents`` without ``text`` but with its size; null texts have size 0. The vocabulary is
+    ``path``, else the session's setting ``stratalith.tokenizer``, else TOKENIZER."""
+    path = path or documents.sparkSession.conf.get("stratalith.tokenizer", TOKENIZER)
     keep = [c for c in documents.columns if c not in (text, size)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in keep), f"`{size}` bigint"])
 

@@ -18,7 +18,7 @@ REPEATED = 0.3  # share of a segment's pairs that are repeated collocations
 OFTEN, OFTEN_PAIRS, RARE = 4, 500, 0.02  # repeated: so often in a text of up to so many pairs, in so few texts
 ITEMS = 3  # product lines from which they count as a list
 BLOCK_CHARS = 1_000_000  # characters of texts that are counted together
-BROADCAST_ROWS = 2_000_000  # pair tables up to this many rows (of 16 bytes) are sent to all executors
+BROADCAST_ROWS = 1_000_000  # pair tables up to so many rows (24 bytes, some 60 in a hash table: 60 MB) are sent to all executors
 
 _ROWS = "doc_id bigint, seg int, kind string, chars int, h bigint, n int, h1 bigint, h2 bigint, repeated boolean"
 _MIX = 0x9E3779B97F4A7C15
