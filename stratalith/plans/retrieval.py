@@ -9,7 +9,7 @@ from stratalith.functions import intent as intents
 from stratalith.functions import paths
 from stratalith.functions.text import STOPWORDS, split_identifier_str, tokenize, tokenize_sql, tokenize_str
 from stratalith.operators import bm25, dense, fusion
-from stratalith.operators.scale import materialise, spread
+from stratalith.operators.scale import materialise, shared_dir, spread
 from stratalith.plans.corpora import CHUNKS, DOCS, chunks, dirs_sql, docs, stem_sql
 from stratalith.sources.tables import table
 
@@ -165,8 +165,24 @@ def hybrid_full(spark: SparkSession, d: str) -> DataFrame:
     return fusion.hybrid(semantic, lexical, c, HYBRID, K).withColumn("score", F.round("score", 6))
 
 
+_INDEXES: dict[tuple[str, str], object] = {}
+
+
+def search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """A hybrid search over all files through the stored index: the first call of an application
+    builds it, later ones find it up to date by the files' signatures and only search."""
+    from stratalith.api import Engine
+    from stratalith.operators.index import Index
+
+    files = table(spark, d, "files").where("rel_path IS NOT NULL AND length IS NOT NULL AND mtime_ns IS NOT NULL").select(
+        F.lit("").alias("repo"), F.concat_ws("/", "repo", "rel_path").alias("rel_path"), "language", "length", "mtime_ns", "content"
+    )
+    index = _INDEXES.setdefault((spark.sparkContext.applicationId, d), Index(spark, shared_dir(spark)))
+    return Engine(spark, files, index=index).search(HYBRID, k=K).select("rank", "file_path", "start_line", "end_line", F.round("score", 6).alias("score"))
+
+
 _FNS = [
-    tokenize_terms, term_doc_freq, doc_length_stats, bm25_topk, bm25_language_filter, bm25_path_scope, bm25_exclude, bm25_postings, bm25_batch, dense_topk, dense_selector, dense_related,
+    search_indexed, tokenize_terms, term_doc_freq, doc_length_stats, bm25_topk, bm25_language_filter, bm25_path_scope, bm25_exclude, bm25_postings, bm25_batch, dense_topk, dense_selector, dense_related,
     hash_embed, semantic_topk, rrf_hybrid, file_boost, diversity_rerank, path_penalty, path_intent, named_insertions, definition_boost, hybrid_full,
 ]
 QUERIES = {f.__name__: f for f in _FNS}
