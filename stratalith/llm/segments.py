@@ -10,12 +10,16 @@ LEAST_WORDS = 8  # shorter lines and sentences join the next ones of their kind
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 _FENCE = re.compile(r"\s*(?:```|~~~)")
 _TRACE = re.compile(r"\s*(?:at \S+ ?\(|at [\w$.<>]+\(|File \"|Traceback |Caused by|\.\.\. \d+ more|#\d+ +0x|goroutine |\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?(?:ERROR|WARN|INFO|DEBUG)\b|thread '|panicked at|\s+\d+: \S+::)")
-_CODE = re.compile(r"^(?: {4,}|\t).*[;{}()=]|^\s*[\w.\[\]]+\s*[:+]?=\s*\S+.*[;(]|[{};]\s*$|^\s*(?:import|from|def|fn|func|pub|return|const|let|var|class|#include)\b.*[;:{(]?$")
+# a line that ends in a brace or semicolon is code as well; that is asked of its last character
+_CODE = re.compile(r"(?: {4,}|\t).*[;{}()=]|\s*[\w.\[\]]+\s*[:+]?=\s*\S+.*[;(]|\s*(?:import|from|def|fn|func|pub|return|const|let|var|class|#include)\b.*[;:{(]?$")
+_DIGIT = re.compile(r"\d")
 _URL = r"(?:https?://|ftp://|www\.)[^\s<>\"')\]]+"
-_HOST = r"(?<![\w@/.])(?:[\w-]+\.)+(?:com|net|org|info|biz|io|dev|example|invalid|test|local|de|fr|es|uk|eu|co|me|app|shop|store|online|site|xyz|ru|cn)\b(?:/[^\s<>\"')\]]*)?"
+_ENDS = "com|net|org|info|biz|io|dev|example|invalid|test|local|de|fr|es|uk|eu|co|me|app|shop|store|online|site|xyz|ru|cn"
+_HOST = rf"(?<![\w@/.])(?:[\w-]+\.)+(?:{_ENDS})\b(?:/[^\s<>\"')\]]*)?"
 _LINK = re.compile(
     rf"<a\b[^>]*>.*?</a>|!?\[(?:[^\[\]]|!?\[[^\[\]]*\]\([^()\s]*\))*\]\([^()\s]*\)|!?\[[^\[\]]*\]\[[^\]]*\]|<?{_URL}>?|{_HOST}|\[url[^\]]*\].*?\[/url\]", re.I | re.S
 )
+_MAYBE = re.compile(rf"<a\b|\]\(|\]\[|://|www\.|\[url|\.(?:{_ENDS})\b", re.I)  # what every link has somewhere
 _TAG = re.compile(r"(?<![\w#&/])[#@][^\W\d_][\w-]*")
 _HEADING = re.compile(r"#{1,6}\s+\S|[=~-]{3,}$")
 _PRICE = re.compile(r"(?<![\d.])\d{1,6}[.,]\d\d(?![\d.])|[€$£¥]\s?\d|\d\s?(?:€|EUR|USD)\b")
@@ -54,11 +58,11 @@ def segments(text: str) -> list[Segment]:
             if len(held) >= LEAST_WORDS // 2:
                 flush()
             continue
-        if _HEADING.match(bare) and not fenced and not _LINK.search(bare):
+        if bare[0] in "#=~-" and _HEADING.match(bare) and not fenced and not _LINK.search(bare):
             flush()
             out.append(Segment("head", len(bare), words_of(bare)))
             continue
-        if not fenced and _PRICE.search(bare) and len(_SEPARATOR.findall(bare)) >= 2 and len(_WORD.findall(bare)) <= 20 and not bare.startswith("|"):
+        if not fenced and _DIGIT.search(bare) and _PRICE.search(bare) and len(_SEPARATOR.findall(bare)) >= 2 and len(_WORD.findall(bare)) <= 20 and not bare.startswith("|"):
             flush()
             out.append(Segment("item", len(bare), words_of(bare)))
             continue
@@ -67,14 +71,15 @@ def segments(text: str) -> list[Segment]:
             flush()
             out.append(Segment("other", len(bare), []))
             continue
-        if fenced or bare.startswith("|") or _TRACE.match(line) or _CODE.search(line) and not _LINK.search(line):
+        if fenced or bare.startswith("|") or _TRACE.match(line) or (bare[-1] in "{};" or _CODE.match(line)) and not _LINK.search(line):
             flush()
             out.append(Segment("other", len(bare), []))
             continue
         rest, linked = line, 0
         if "." in line or "<a" in line.lower() or "](" in line:
-            rest = _LINK.sub(" ", line)
-            linked = len(bare) - len(rest.strip())
+            if _MAYBE.search(line):
+                rest = _LINK.sub(" ", line)
+                linked = len(bare) - len(rest.strip())
         if linked > 0:
             left = words_of(rest)
             if len(left) >= 5 or "![" in line and len(left) >= 3:
