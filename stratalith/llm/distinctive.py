@@ -38,7 +38,8 @@ def log_entropy(postings: DataFrame, heavy_floor: int = 100_000) -> DataFrame:
 
 def top_terms(postings: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, rank, term): the ``k`` terms of each record that weigh most, to 9 decimals; ties go
-    to the term that sorts first. Spark's group limit keeps k rows per record before the shuffle."""
+    to the term that sorts first. Rows that are no rows for ``log_entropy`` do not exist here; extra
+    columns are ignored. Spark's group limit keeps k rows per record before the shuffle."""
     order = Window.partitionBy("doc_id").orderBy(F.round("weight", 9).desc(), "term")
     ranked = log_entropy(postings).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("doc_id", "rank", "term")

@@ -21,7 +21,7 @@ from stratalith.operators.scale import lookup_join, materialise, spread
 COVER = 0.7  # share of tokens under copies of one rule from which a file counts as generated
 LEAST_TOKENS = 40  # shorter files say nothing by their grammar
 COPY = 0.5  # shingle similarity from which a file counts as a copy of a library file
-LIBRARY_MB = 64  # of library texts are sent to the executors at once; a larger library goes in several passes
+LIBRARY_MB = 8  # of library texts (some 100 MB as tokens) are sent to the executors at once; a larger library goes in several passes
 MINIFIED = 0.45  # symbols of the grammar per token below which long lines count as minified
 REPOS = 3  # repositories in which a rule must occur to count as shared
 
@@ -271,7 +271,7 @@ def file_origins(files: DataFrame, library: DataFrame) -> DataFrame:
 def shared_rules(files: DataFrame, library: DataFrame, repos: int = REPOS) -> DataFrame:
     """(file_id, repo, rel_path, reason, rules, shared, share): how many grammar rules a file has and
     how many of them occur in files of at least ``repos`` repositories, third-party code and shared
-    templates alike. Files without rules have share 0.
+    templates alike. Files without rules have share 0; a null repository counts as one.
 
     Rules are counted in a table of their own, combined before the shuffle; a rule in very many
     files is joined by broadcast (``lookup_join``), so no task holds it."""

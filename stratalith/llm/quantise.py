@@ -48,7 +48,8 @@ class Cells:
 
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` nearest cells of each row, nearest first."""
-        k, b = len(self.second), min(len(self.first), BEAM_CELLS)
+        k = len(self.second)
+        b = min(len(self.first), max(BEAM_CELLS, -(-n // k)))  # all cells where all are asked for
         n = min(n, b * k)
         norms = (self.first**2).sum(1)[:, None] + (self.second**2).sum(1)[None, :] + 2 * self.first @ self.second.T
         out = []

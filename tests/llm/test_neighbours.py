@@ -70,6 +70,11 @@ def test_codes_order_like_exact_distances():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     q = fit(x, 4, books=6, words=32)
     assert len(q.cells) == 4 and q.cells.nearest(x, 9).shape == (len(x), 4)
+    many = fit(x, 40 * 40, books=2, words=8).cells  # more words than the beam looks at
+    assert many.nearest(x[:5], 16).shape == (5, 16) and sorted(many.nearest(x[:2], len(many))[1]) == list(range(len(many)))
+    centres = (many.first[:, None] + many.second[None]).reshape(len(many), -1)
+    best = ((x[:50, None] - centres[None]) ** 2).sum(2).argmin(1)
+    assert (many.nearest(x[:50], 1)[:, 0] == best).mean() > 0.9
     codes, lengths = q.encode(x)
     back = q.decode(codes)
     assert np.allclose(lengths, (back**2).sum(1), atol=1e-4)
