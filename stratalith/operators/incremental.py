@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratalith.operators.scale import publish, read_small
+
 
 def normal_path(path: Column) -> Column:
     """One spelling per path: forward slashes, no leading ``./``."""
@@ -132,8 +134,7 @@ class IncrementalStore:
         done = [int(n) for n in names if n.isdigit()]
         if not done:
             return None
-        rows = self.spark.read.text(f"{self.root}/commits/{max(done)}").collect()
-        return json.loads(rows[0]["value"])
+        return json.loads(read_small(self.spark, f"{self.root}/commits/{max(done)}"))
 
     def _write(self, df: DataFrame, path: str) -> tuple[DataFrame, int]:
         df.write.parquet(path)
@@ -191,16 +192,9 @@ class IncrementalStore:
         if batch is not None:
             batches = batches | {batch[0]: {"number": batch[1], "delta": f"{target}/delta"}}
         commit = {"n": n, "watermark": watermark, "delta": f"{target}/delta", "parts": parts, "batches": batches}
+        publish(self.spark, f"{self.root}/commits", str(n), json.dumps(commit))
         jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path
-        staged = path(f"{self.root}/commits/{n}-{uuid.uuid4().hex[:8]}.tmp")
-        out = fs.create(staged)
-        out.writeBytes(json.dumps(commit))
-        out.close()
-        # without the overwrite option a rename onto a published commit fails, and only one writer wins
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        context.rename(staged, path(f"{self.root}/commits/{n}"), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
-        fs.delete(path(f"{target}/new"), True)
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{target}/new"), True)
         return self.changed(commit)
 
     @staticmethod

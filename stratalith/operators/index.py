@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from stratalith.operators import bm25, symbols
 from stratalith.operators.encoders import Encoder, HashingEncoder
+from stratalith.operators.scale import publish, read_small
 
 SCHEMA_VERSION = 2
 MAX_BYTES = 1 << 20
@@ -59,7 +60,7 @@ class Index:
         done = [int(s.getPath().getName()) for s in fs.listStatus(path(f"{self.root}/current")) if s.getPath().getName().isdigit()]
         if not done:
             return None
-        meta = json.loads(self.spark.read.text(f"{self.root}/current/{max(done)}").first()[0])
+        meta = json.loads(read_small(self.spark, f"{self.root}/current/{max(done)}"))
         return meta if meta["schema"] == SCHEMA_VERSION else None
 
     def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
@@ -164,14 +165,8 @@ class Index:
         return {n.removeprefix("bucket="): f"{data}/{name}/{n}" for n in names if n.startswith("bucket=")}
 
     def _publish(self, n: int, tables: dict) -> None:
-        path, fs = self._fs()
-        staged = path(f"{self.root}/current/{n}-{uuid.uuid4().hex[:8]}.tmp")
-        out = fs.create(staged)
-        out.writeBytes(json.dumps({"n": n, "schema": SCHEMA_VERSION, "encoder": self.encoder.fingerprint(), "tables": tables}))
-        out.close()
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        context = hadoop.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        context.rename(staged, path(f"{self.root}/current/{n}"), self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+        meta = {"n": n, "schema": SCHEMA_VERSION, "encoder": self.encoder.fingerprint(), "tables": tables}
+        publish(self.spark, f"{self.root}/current", str(n), json.dumps(meta))
 
     def vacuum(self) -> int:
         """Delete version folders that the current version no longer names; returns how many. Not to

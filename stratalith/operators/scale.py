@@ -65,6 +65,28 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def read_small(spark: SparkSession, path: str) -> str:
+    """A small file, read by the driver without a job."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """``folder/name`` with ``text``, by one rename; fails where it exists, so one writer wins."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    staged = hadoop.Path(f"{folder}/{name}-{uuid.uuid4().hex[:8]}.tmp")
+    fs = staged.getFileSystem(conf)
+    out = fs.create(staged)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = hadoop.FileContext.getFileContext(fs.getUri(), conf)
+    context.rename(staged, hadoop.Path(f"{folder}/{name}"), spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a materialised DataFrame that nothing reads any more."""
     folder = getattr(df, "_stratalith_folder", None)
