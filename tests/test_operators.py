@@ -1,11 +1,13 @@
 """Operators on small literals and against brute force, with the skew paths forced."""
 
+import math
 import os
 import random
 import subprocess
 from collections import defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,69 @@ def test_bm25_and_selectors(spark, chunks):
     assert batch["session", 1] == round({r["chunk_id"]: r["score"] for r in bm25.scores(postings, lengths, "session").collect()}[1], 6)
 
 
+def _written(spark):
+    return sum(x.shuffleWriteRecords() for x in _all(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+
+
+def _all(found):
+    return [found.apply(i) for i in range(found.size())]
+
+
+def _batch_loop(postings, lengths, queries, k):
+    n, mean, df = len(lengths), max(1.0, sum(x for _, x in lengths) / len(lengths)), defaultdict(int)
+    for term, _, _ in postings:
+        df[term] += 1
+    out = set()
+    for text in {x for x in queries if x is not None}:
+        score, words = defaultdict(float), set(text.split())
+        for term, chunk, tf in postings:
+            for one, dl in lengths:
+                if term in words and one == chunk:
+                    score[chunk] += math.log((n - df[term] + 0.5) / (df[term] + 0.5) + 1) * tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * dl / mean))
+        order = sorted((-math.floor(s * 1e6 + 0.5) / 1e6, c) for c, s in score.items())
+        out |= {(text, i + 1, c, -s) for i, (s, c) in enumerate(order[:k]) if s < 0}
+    return out
+
+
+def test_batch_against_a_loop_writes_no_row_per_query_and_chunk(spark, monkeypatch):
+    r = random.Random(4)
+    words = ["every", *(f"w{chr(97 + i)}" for i in range(12)), "lost"]
+    postings = [(w, c, r.choice([1, 1, 1, 2, 5])) for c in range(300) for w in {"every", *r.choices(words[1:-1], k=3)}]
+    postings += [("wa", 7, 9), ("wa", 7, 2)] + [("lost", 1000 + i, 1) for i in range(700)] + [("lost", 3, 1)]  # a repeat; chunks without a length, so that a weight is below 0
+    lengths = [(c, r.choice([5, 10])) for c in range(300)] + [(9, 77)]
+    queries = ["every", "lost", "lost every", "nothing", "", None] + [" ".join(["every", *r.sample(words, 2), f"x{i}x"]) for i in range(300)]
+    p, n = spark.createDataFrame(postings, "term string, chunk_id bigint, tf int"), spark.createDataFrame(lengths, "chunk_id bigint, dl int")
+    q = spark.createDataFrame([(x,) for x in queries], "query_text string")
+    began = _written(spark)
+    got = bm25.batch(p, n, q, 10).collect()
+    assert _written(spark) - began < 30_000  # of 90,000 matching pairs of query and chunk
+    want = _batch_loop(postings, lengths, queries, 10)
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+    for name, most in (("TILE_CHUNKS", 40), ("TILE_QUERIES", 70), ("FEW_TERMS", 10)):
+        monkeypatch.setattr(bm25, name, most)
+    got = bm25.batch(p, n, q, 3).collect()
+    want = _batch_loop(postings, lengths, queries, 3)
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+    assert bm25.batch(p, n, q.limit(0), 3).count() == bm25.batch(p.limit(0), n.limit(0), q, 3).count() == bm25.batch(p, n, q, 0).count() == 0
+
+
+def test_a_tile_of_many_blocks_keeps_the_first_of_equal_scores(monkeypatch):
+    r = random.Random(5)
+    for block, k, names in ((64, 2, int), (256, 2, lambda i: f"c{i}"), (300, 1, int), (1024, 50, int)):
+        monkeypatch.setattr(bm25, "BLOCK", block)
+        ids = r.sample(range(10_000), 1_000)
+        rows = [(names(i), [(t, r.choice([0.5, 0.25, 1.0, -0.25])) for t in r.choices([3, 5, 8], k=2) + r.choices(range(100, 300), k=2)]) for i in ids]
+        asked = [(q, t) for q in range(40) for t in {3, *r.sample([5, 8, 999], 1), *r.sample(range(100, 300), q % 4)}] + [(77, 999)]
+        tile = pa.table({"chunk_id": [x for x, _ in rows], "ts": [[t for t, _ in x] for _, x in rows], "ws": [[w for _, w in x] for _, x in rows]})
+        got = bm25.best_of_tile(tile, pa.table({"q": [q for q, _ in asked], "t": [t for _, t in asked]}), k)
+        want = []
+        for q in sorted({q for q, _ in asked}):
+            terms = {t for x, t in asked if x == q}
+            sums = sorted((-sum(w for t, w in x if t in terms), c) for c, x in rows)
+            want += [(q, c, -s) for s, c in sums[:k] if s < 0]
+        assert [tuple(x.values()) for x in got.to_pylist()] == want
+
+
 def test_hash_vectors_and_lookup(spark, chunks):
     v = dense.hash_vectors(chunks, "chunk_id", F.col("content"))
     assert all(abs(r["n"] - 1) < 1e-9 for r in v.groupBy("chunk_id").agg(F.sum(F.col("value") ** 2).alias("n")).collect())
